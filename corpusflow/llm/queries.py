@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .minhash import near_duplicates
+from .substrings import cut_repeats
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array}
 
 ORACLE_SQL: dict[str, str] = {}
