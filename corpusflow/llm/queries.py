@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .substrings import cut_repeats
 
 
@@ -17,6 +18,14 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_suffix_array": op2_suffix_array}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_suffix_array": op2_suffix_array,
+    "op4_packing": op4_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
