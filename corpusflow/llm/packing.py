@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
-from .tokens import BPE_JSON, WordCache, json_encoder
+from .tokens import BPE_JSON, json_encoder
 
 SHARD_PIECES = 200_000
 
@@ -99,16 +99,11 @@ def pack(sizes: list[int], room: int) -> tuple[list[int], list[int]]:
 def _piece_rows(path: str, room: int, end_id: int, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = json_encoder(path)
-        cache = WordCache(encoder)
         for batch in batches:
             for part in text_slices(batch):
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                special = [any(token in text for token in encoder.special_tokens_set) for text in texts]
-                flat, bounds = cache.encode(["" if odd else text for text, odd in zip(texts, special, strict=True)])
                 out: list[tuple] = []
-                for k, doc in enumerate(part.column(0).to_pylist()):
-                    own = np.array(encoder.encode(texts[k], allowed_special="all")) if special[k] else flat[bounds[k] : bounds[k + 1]]
-                    ids = np.append(own, end_id).astype("<u4")
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                     start, stop, piece = 0, len(ids) % room or min(room, len(ids)), 0
                     while start < len(ids):
                         data = ids[start:stop].tobytes()

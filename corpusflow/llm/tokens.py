@@ -7,7 +7,6 @@ paths are parameters.  An encoder is built once for a Python worker.
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 from functools import lru_cache
 from pathlib import Path
@@ -143,26 +142,3 @@ def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, picks: np.
         return values[:0]
     at = np.repeat(begins[picks] - (total - lengths), lengths)
     return values[at + np.arange(total[-1])]
-
-
-class WordCache:
-    """Ids of words by hash, for one Python worker; emptied when it holds ``most`` words."""
-
-    def __init__(self, encoder: tiktoken.Encoding, most: int = 500_000):
-        self.encoder, self.most, self.known = encoder, most, {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the bounds of each text's."""
-        bounds, index, hashes, source = distinct_words(texts)
-        if len(self.known) > self.most:
-            self.known.clear()
-        ids = []
-        for k, h in enumerate(hashes.tolist()):
-            own = self.known.get(h)
-            if own is None:
-                own = self.known[h] = self.encoder.encode_ordinary(read_word(source, k))
-            ids.append(own)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        ends = np.append(0, np.cumsum(sizes[index]))
-        return ragged(flat, np.cumsum(sizes) - sizes, sizes, index), ends[bounds]
