@@ -76,6 +76,8 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signer(size: int, bands: int, rows: int, least: int):
+    words = bands * rows // 32
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(bands * rows)
         for batch in batches:
@@ -84,11 +86,11 @@ def _signer(size: int, bands: int, rows: int, least: int):
                 sets = kernels.shingle_sets(*kernels.word_hashes(data, offsets), size)
                 big = [k for k, s in enumerate(sets) if len(s) >= least]
                 keys: list = [None] * len(sets)
-                sketch = np.zeros((len(sets), 2), np.int64)
+                sketch = np.zeros((len(sets), words), np.int64)
                 if big:
                     signatures = one_permutation([sets[k] for k in big], bands * rows, probes)
-                    bits = (kernels.mix(signatures[:, :128] + np.uint64(11)) & np.uint64(1)).astype(np.uint8)
-                    sketch[big] = np.packbits(bits, axis=1).view(np.int64)
+                    bits = kernels.mix(signatures + np.uint64(11))
+                    sketch[big] = np.hstack([np.packbits((bits >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(2)])
                     for k, row in zip(big, band_keys(signatures, bands).view(np.int64), strict=True):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
@@ -97,10 +99,9 @@ def _signer(size: int, bands: int, rows: int, least: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketch[:, 0]),
-                        pa.array(sketch[:, 1]),
+                        *(pa.array(sketch[:, k]) for k in range(words)),
                     ],
-                    names=["doc_id", "n_shingles", "fingerprint", "keys", "s1", "s2"],
+                    names=["doc_id", "n_shingles", "fingerprint", "keys", *(f"s{k}" for k in range(words))],
                 )
 
     return sign
@@ -120,13 +121,19 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """What every linked pair meets: sizes in proportion and, but for 1e-8, enough equal sketch bits."""
-    apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    p = (1 - percent / 100) / 2
-    most = int(np.ceil(128 * p + 5.7 * np.sqrt(128 * p * (1 - p))))
+def _alike(a: str, b: str, percent: int, bins: int) -> Column:
+    """What every linked pair meets: sizes in proportion and, but for one in a million, enough equal bins.
+
+    Two bits of each bin tell three quarters of the unequal bins.
+    """
+    half = bins // 64
+    apart = sum(
+        F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")).bitwiseOR(F.col(f"{a}.s{k + half}").bitwiseXOR(F.col(f"{b}.s{k + half}")))) for k in range(half)
+    )
+    p = 0.75 * (1 - percent / 100)
+    most = int(np.ceil(bins * p + 4.75 * np.sqrt(bins * p * (1 - p))))
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (apart <= most) & (100 * small >= percent * large)
+    return (100 * small >= percent * large) & (apart <= most)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
@@ -144,16 +151,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
-    signed = materialize(
-        docs.mapInArrow(_signer(size, bands, rows, least), "doc_id long, n_shingles long, fingerprint binary, keys array<long>, s1 long, s2 long"),
-        "signed",
-    )
+    sketch = [f"s{k}" for k in range(bands * rows // 32)]
+    schema = "doc_id long, n_shingles long, fingerprint binary, keys array<long>" + "".join(f", {c} long" for c in sketch)
+    signed = materialize(docs.mapInArrow(_signer(size, bands, rows, least), schema), "signed")
     # Equal sets first: they are one node, named by their smallest doc_id.
-    sets = signed.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    members = materialize(
-        signed.select("doc_id", "n_shingles", "fingerprint", "s1", "s2").join(sets, "fingerprint", "left").drop("fingerprint"), "members"
-    )
-    nodes = members.where("doc_id = rep").select("rep", "n_shingles", "s1", "s2").dropDuplicates(["rep"])
+    sets = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "sets")
+    members = materialize(signed.select("doc_id", "n_shingles", "fingerprint").join(sets, "fingerprint", "left").drop("fingerprint"), "members")
+    nodes = signed.where("keys is not null").select(F.col("doc_id").alias("rep"), "fingerprint", "n_shingles", *sketch)
+    nodes = materialize(nodes.join(sets, ["rep", "fingerprint"], "left_semi").drop("fingerprint").dropDuplicates(["rep"]), "nodes")
     keyed = (
         signed.where("keys is not null")
         .select("doc_id", "keys")
@@ -162,7 +167,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     )
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last")
     buckets = materialize(
-        keyed.join(shared.drop("last"), "key").join(nodes, "rep").select("key", "m", "centre", "rep", "n_shingles", "s1", "s2"), "buckets"
+        keyed.join(shared.drop("last"), "key").select("key", "m", "centre", "rep"), "buckets"
     )
     discard(signed)
     chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
@@ -176,7 +181,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
     stars = stars.join(nodes.alias("a"), F.col("u") == F.col("a.rep")).join(nodes.alias("b"), F.col("v") == F.col("b.rep"))
-    tried = materialize(stars.where(_alike("a", "b", percent)).select("u", "v"), "pairs")
+    tried = materialize(stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v"), "pairs")
     links = materialize(confirmed(tried), "links")
     repeated = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
     links = links.unionByName(repeated)
@@ -185,10 +190,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     for depth in range(1, deepest + 1):
         placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
+        open_ = materialize(placed.join(mixed, "key", "left_semi").join(nodes, "rep"), "open")
         a, b = open_.where(F.col("level") == depth).alias("a"), open_.where(F.col("level") >= depth).alias("b")
         later = (F.col("b.level") > F.col("a.level")) | (F.col("b.rep") > F.col("a.rep"))
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & later & _alike("a", "b", percent))
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & later & _alike("a", "b", percent, bands * rows))
         pairs = pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         discard(open_)
