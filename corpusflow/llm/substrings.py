@@ -21,6 +21,7 @@ and anchor, whatever its size.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,15 +192,22 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, le
 
 def _shard_rows(length: int):
     def solved(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        key = np.array([x[0] for x in held])
-        same = key[1:] == key[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        held = [x for x, keep in zip(held, several.tolist(), strict=True) if keep]
-        if not held:
-            return
-        doc, start = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        k, offset = repeated_windows([x[3] for x in held], doc, start, length)
-        doc, start, end = _runs(doc[k], start[k] + offset, start[k] + offset + length)
+        """``held`` is in order of key, document and start; equal pieces of a key are sorted once."""
+        owners: dict[tuple[int, bytes], tuple[int, int]] = {}
+        covered = []
+        for key, doc, start, piece in held:
+            if owners.setdefault((key, piece), (doc, start)) != (doc, start):
+                covered.append((doc, start, start + len(piece)))
+        kinds = Counter(key for key, _ in owners)
+        kept = [(piece, *owner) for (key, piece), owner in owners.items() if kinds[key] > 1]
+        doc, start, end = (np.array(x, np.int64) for x in (zip(*covered, strict=True) if covered else ([], [], [])))
+        if kept:
+            pieces, own_doc, own_start = zip(*kept, strict=True)
+            own_doc, own_start = np.array(own_doc), np.array(own_start)
+            k, offset = repeated_windows(list(pieces), own_doc, own_start, length)
+            doc, start = np.append(doc, own_doc[k]), np.append(start, own_start[k] + offset)
+            end = np.append(end, own_start[k] + offset + length)
+        doc, start, end = _runs(doc, start, end)
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start << 32 | end, pa.int64())], names=["doc", "loc"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
