@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, room: int = 2048, tokenizer: str = BPE_JSON,
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "doc_id", "piece", "ids_crc32"], kind="stable")
         chosen, places = pack(group["length"].tolist(), room)
-        group["sequence_id"] = np.array(chosen, np.int64) + (group["shard"].astype(np.int64) << 32)
+        group["sequence_id"] = np.array(chosen, np.int64) + (group["shard"].to_numpy(np.int64) << 32)
         group["offset"] = places
         return group[columns]
 

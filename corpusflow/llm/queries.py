@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -22,10 +23,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents")).drop("ids", "decoded")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
     "op4_packing": op4_packing,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
