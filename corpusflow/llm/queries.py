@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
 from .substrings import cut_repeats
+from .urls import host_of, judge_urls
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +36,48 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("_q_" + c).alias(c) for c in counts), F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_distance").alias("distance"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+#: Host labels whose pages make up the listing of the query.
+LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.sql(f"select * from values {_RULES_SQL} as rules(rule_host, rule_path, verdict)")
+    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
+    return judge_urls(pages, rules, listed)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_urls": op7_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": rf"""
+        with parsed as (
+            select page_id,
+                   translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
+            from pages),
+        keyed as (
+            select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html|/+)$', '') as key,
+                   regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.') as listed
+            from parsed),
+        rules(rule_host, rule_path, v) as (values {_RULES_SQL}),
+        named as (select distinct host, path from parsed where host <> ''),
+        ranked as (
+            select host, path, rule_host || rule_path as rule, v,
+                   row_number() over (partition by host, path order by length(rule_host || rule_path) desc, rule_host || rule_path, v) as r
+            from named join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
+        best as (select host, path, rule, v from ranked where r = 1)
+        select page_id, host, path, rule,
+               coalesce(v, case when host <> '' and key in (select key from keyed where listed and key <> '') then 'block' else 'allow' end) as verdict
+        from keyed left join best using (host, path)
+    """,
+}
