@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
@@ -10,6 +10,7 @@ from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
+from .secrets import find_secrets
 from .substrings import cut_repeats
 from .urls import host_of, judge_urls
 
@@ -49,6 +50,21 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules, listed)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rank = F.array(*(F.lit(k) for k in ("assign", "access", "hex", "format")))
+
+    def joined(spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], F.array_position(rank, s["kind"]).alias("r"), s["end"], s["kind"])))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("_s_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = joined(F.concat("_s_base", "_s_added")).alias("spans")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("_s_base")), 256).alias("base_sha256"), spans)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
@@ -56,6 +72,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_urls": op7_urls,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
