@@ -8,10 +8,12 @@ edges to its smallest member, so a bucket of m members gives m - 1 pairs.
 
 A star alone may miss a link between two leaves.  Buckets whose members are
 not yet in one component therefore get further stars, whose centres are drawn
-by a hash with a sixteenfold larger chance each time until every member has
+by a hash with a fourfold larger chance each time until every member has
 been a centre; pairs already in one component are left out.  So no candidate
 pair between components stays unchecked, and a bucket that hangs together
-costs one star.  Every link is confirmed on the full sets.
+costs one star.  Every link is confirmed on the full sets, in the join itself:
+what two members share is counted there and only links come out, so a group of
+many near misses makes no rows.
 
 With ``rows = 8`` and ``bands = 64`` a pair at similarity 0.8 shares no band
 with probability 8e-6; pairs at 0.4 share one with probability 0.04.
@@ -31,8 +33,8 @@ from . import kernels
 from .common import discard, flat_bytes, materialize, text_slices
 from .components import connected_components
 
-#: Further stars of a bucket draw centres with chances 1/16**k of the bucket's size.
-_WIDEN = 16
+#: Further stars of a bucket of m draw centres with chances 4/m, 16/m, 64/m ...
+_WIDEN = 4
 _PROBES = 1 << 12
 
 
@@ -107,18 +109,19 @@ def _signer(size: int, bands: int, rows: int, least: int):
     return sign
 
 
-def _verifier(size: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text_u"):
-                left, right = ([*kernels.shingle_sets(*kernels.word_hashes(*flat_bytes(part.column(c))), size)] for c in ("text_u", "text_v"))
-                keep = []
-                for a, b in zip(left, right, strict=True):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for part in text_slices(batch):
+                sets = kernels.shingle_sets(*kernels.word_hashes(*flat_bytes(part.column(1))), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    return rows
+
 
-    return verify
+def _linked(a: str, b: str, percent: int) -> Column:
+    both = F.size(F.array_intersect(f"{a}.shingles", f"{b}.shingles"))
+    return both * (100 + percent) >= percent * (F.size(f"{a}.shingles") + F.size(f"{b}.shingles"))
 
 
 def _alike(a: str, b: str, percent: int, bins: int) -> Column:
@@ -170,41 +173,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         keyed.join(shared.drop("last"), "key").select("key", "m", "centre", "rep"), "buckets"
     )
     discard(signed)
-    chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
+    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
     level = F.when(F.col("rep") == F.col("centre"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(_WIDEN), F.greatest(chance, F.lit(1.0))))))
     buckets = buckets.withColumn("level", level.cast("int"))
-    texts = materialize(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        sides = [texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv"]
-        return pairs.join(sides[0], "u").join(sides[1], "v").mapInArrow(_verifier(size, percent), "u long, v long")
-
+    chosen = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(chosen.mapInArrow(_set_rows(size), "rep long, shingles array<long>"), "shingles")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
     stars = stars.join(nodes.alias("a"), F.col("u") == F.col("a.rep")).join(nodes.alias("b"), F.col("v") == F.col("b.rep"))
-    tried = materialize(stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v"), "pairs")
-    links = materialize(confirmed(tried), "links")
+    stars = stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v")
+    stars = stars.join(sets.alias("a"), F.col("u") == F.col("a.rep")).join(sets.alias("b"), F.col("v") == F.col("b.rep"))
     repeated = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
-    links = links.unionByName(repeated)
+    links = materialize(stars.where(_linked("a", "b", percent)).select("u", "v").unionByName(repeated), "links")
     deepest = buckets.agg(F.max("level")).first()[0] or 0
     found = connected_components(links)
     for depth in range(1, deepest + 1):
         placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = materialize(placed.join(mixed, "key", "left_semi").join(nodes, "rep"), "open")
-        a, b = open_.where(F.col("level") == depth).alias("a"), open_.where(F.col("level") >= depth).alias("b")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("last"))
+        mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("last") >= depth)).select("key")
+        open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(nodes, "rep").join(sets, "rep"), "open")
+        a, b = open_.where(F.col("level") == depth).alias("a"), open_.alias("b")
         later = (F.col("b.level") > F.col("a.level")) | (F.col("b.rep") > F.col("a.rep"))
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & later & _alike("a", "b", percent, bands * rows))
-        pairs = pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
-        pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        near = later & _alike("a", "b", percent, bands * rows) & _linked("a", "b", percent)
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near)
+        more = materialize(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "links")
         discard(open_)
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        more = materialize(confirmed(pairs), "links")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        found = connected_components(links)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = connected_components(links)
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
