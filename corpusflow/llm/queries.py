@@ -13,6 +13,7 @@ from .quality import judge
 from .secrets import find_secrets
 from .substrings import cut_repeats
 from .urls import host_of, judge_urls
+from .vectors import nearest
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("_s_base")), 256).alias("base_sha256"), spans)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
@@ -73,6 +79,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
