@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .bpe import encode_documents
-from .common import table
+from .common import materialize, table
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
@@ -71,6 +72,16 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from transcripts of all conversations; ``n_right`` counts lines whose role was recovered."""
+    lines = materialize(chat.transcript_lines(table(spark, sf_dir, "conversations")), "transcripts")
+    found = materialize(chat.recover_roles(lines, chat.fit(lines)), "roles")
+    right = found.select("conv_id", "n", F.col("role").alias("found")).join(lines, ["conv_id", "n"]).groupBy("conv_id")
+    right = right.agg(F.count(F.lit(1)).alias("n_lines"), F.sum((F.col("found") == F.col("role")).cast("long")).alias("n_right"))
+    turns = chat.render(found).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("rendered")).alias("n_chars"), F.sum(F.crc32("rendered")).alias("rendered_sum"))
+    return turns.join(right, "conv_id")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
@@ -79,6 +90,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
+    "op9_chat": op9_chat,
     "op10_nearest": op10_nearest,
 }
 
