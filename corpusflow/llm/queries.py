@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .bpe import encode_documents
 from .common import materialize, table
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
@@ -25,6 +26,10 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -85,6 +90,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix_array": op2_suffix_array,
+    "op3_licenses": op3_licenses,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
