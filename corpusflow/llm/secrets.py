@@ -203,6 +203,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST, pr
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span that :func:`find_secrets` reports replaced by ``[kind]`` in ``text``; other columns stay."""
     found = find_secrets(docs)
+    names = docs.columns
     at, base, more = (found.columns.index(c) for c in ("text", "_s_base", "_s_added"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def redact(docs: DataFrame) -> DataFrame:
                         end = span["end"]
                 if parts:
                     texts[k] = "".join([*parts, texts[k][end:]])
-            columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.mapInArrow(rows, docs.schema)
