@@ -8,7 +8,7 @@ edges to its smallest member, so a bucket of m members gives m - 1 pairs.
 
 A star alone may miss a link between two leaves.  Buckets whose members are
 not yet in one component therefore get further stars, whose centres are drawn
-by a hash with a fourfold larger chance each time until every member has
+by a hash with an eightfold larger chance each time until every member has
 been a centre; pairs already in one component are left out.  So no candidate
 pair between components stays unchecked, and a bucket that hangs together
 costs one star.  Every link is confirmed on the full sets, in the join itself:
@@ -33,8 +33,8 @@ from . import kernels
 from .common import discard, flat_bytes, materialize, text_slices
 from .components import connected_components
 
-#: Further stars of a bucket of m draw centres with chances 4/m, 16/m, 64/m ...
-_WIDEN = 4
+#: Further stars of a bucket of m draw centres with chances 8/m, 64/m, 512/m ...
+_WIDEN = 8
 _PROBES = 1 << 12
 
 
