@@ -7,7 +7,8 @@
    one row; the partition encodes each distinct word once, whatever number of
    blocks sent it, and sends ids back to the blocks.  A word that makes a third
    of all text is one entry of a block.
-3. A block puts its documents' ids together by position and decodes them with
+3. Blocks lie in a bucketed table, so the ids come to them and they are not
+   shuffled.  A block puts its documents' ids together by position and decodes them with
    the token-byte table (bounded: one row for each token of the vocabulary).
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_slices
+from .common import shared_dir, shuffle_partitions, text_slices
 from .tokens import BPE_RANKS, distinct_words, ragged, rank_encoder, read_ranks
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 _ROWS = "target long, block long, kind int, payload binary"
 
 
@@ -61,39 +63,63 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["target", "block", "kind", "payload"])
 
 
-def _block_rows(targets: int):
-    def block(number: int, docs: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+class _Block:
+    """Distinct words and positions of some texts, gathered slice by slice."""
+
+    def __init__(self):
+        self.docs: list = []
+        self.known: dict[int, int] = {}
+        self.counts: list[np.ndarray] = []
+        self.index: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.words: list[str] = []
+        self.bytes = 0
+
+    def add(self, docs: list, texts: list[str], size: int) -> None:
         bounds, index, hashes, (points, starts, ends) = distinct_words(texts)
-        code_of = np.empty(len(hashes), np.int64)
-        by_count = np.argsort(-np.bincount(index, minlength=len(hashes)), kind="stable")
-        code_of[by_count] = np.arange(len(hashes))
-        ids = np.array([0 if d is None else d for d in docs], np.int64).view(np.uint64)
-        known = np.array([d is not None for d in docs], np.uint8)
-        rows = [(number, number, 0, freeze(ids, known, np.diff(bounds), code_of[index]))]
+        before, known = len(self.known), self.known
+        codes = np.fromiter((known.setdefault(h, len(known)) for h in hashes.tolist()), np.int64, len(hashes))
+        fresh = np.flatnonzero(codes >= before)
+        sizes = ends[fresh] - starts[fresh]
+        self.words.append(ragged(points, starts[fresh], sizes, np.arange(len(fresh))).tobytes().decode("utf-32-le", "surrogatepass"))
+        self.sizes.append(sizes)
+        self.docs += docs
+        self.counts.append(np.diff(bounds))
+        self.index.append(codes[index].astype(np.uint32))
+        self.bytes += size
+
+    def rows(self, number: int, targets: int) -> Iterator[pa.RecordBatch]:
+        index = np.concatenate(self.index)
+        sizes = np.concatenate(self.sizes)
+        hashes = np.fromiter(self.known, np.uint64, len(self.known))
+        code_of = np.empty(len(hashes), np.uint32)  # frequent words get small codes
+        code_of[np.argsort(-np.bincount(index, minlength=len(hashes)), kind="stable")] = np.arange(len(hashes))
+        ids = np.array([0 if d is None else d for d in self.docs], np.int64).view(np.uint64)
+        known = np.array([d is not None for d in self.docs], np.uint8)
+        yield _row_batch([(number, number, 0, freeze(ids, known, np.concatenate(self.counts), code_of[index]))])
+        points = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(sizes) - sizes
         target = (hashes % np.uint64(targets)).astype(np.int64)
         order = np.argsort(target, kind="stable")
-        cuts = np.flatnonzero(np.diff(target[order])) + 1
-        for own in np.split(order, cuts) if len(order) else []:
-            sizes = ends[own] - starts[own]
-            text = ragged(points, starts[own], sizes, np.arange(len(own))).tobytes().decode("utf-32-le", "surrogatepass")
-            rows.append((int(target[own[0]]), number, 1, freeze(code_of[own], sizes, np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))))
-        yield _row_batch(rows)
+        rows = []
+        for own in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(order) else []:
+            text = ragged(points, starts, sizes, own).tobytes().decode("utf-32-le", "surrogatepass")
+            rows.append((int(target[own[0]]), number, 1, freeze(code_of[own], sizes[own], np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))))
+        if rows:
+            yield _row_batch(rows)
+
 
+def _block_rows(targets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        docs: list = []
-        texts: list[str] = []
-        size = 0
+        number, held = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             for part in text_slices(batch):
-                docs += part.column(0).to_pylist()
-                texts += [t or "" for t in part.column(1).to_pylist()]
-                size += part.column(1).nbytes
-                if size >= BLOCK_BYTES:
-                    yield from block(number, docs, texts)
-                    number, docs, texts, size = number + 1, [], [], 0
-        if docs:
-            yield from block(number, docs, texts)
+                held.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], part.column(1).nbytes)
+                if held.bytes >= BLOCK_BYTES:
+                    yield from held.rows(number, targets)
+                    number, held = number + 1, _Block()
+        if held.docs:
+            yield from held.rows(number, targets)
 
     return rows
 
@@ -138,9 +164,9 @@ _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 
 def _document_rows(path: str, whole: bool):
-    def documents(parts: list[tuple[int, bytes]], tables: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        docs, known, lengths, index = thaw(parts[0][1])
-        words = [thaw(p) for kind, p in parts[1:]]
+    def documents(frozen: bytes, parts: list[bytes], tables: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        docs, known, lengths, index = thaw(frozen)
+        words = [thaw(p) for p in parts]
         codes, counts, ids = (np.concatenate([w[k] for w in words]) if words else np.zeros(0, np.int64) for k in range(3))
         starts = np.cumsum(counts) - counts
         begin, size = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
@@ -152,7 +178,7 @@ def _document_rows(path: str, whole: bool):
             digits = ragged(*tables[3:], own).tobytes()[:-1]
             decoded = ragged(*tables[:3], own).tobytes()
             out.append((doc if valid else None, len(own), hashlib.sha256(digits).hexdigest(), hashlib.sha256(decoded).hexdigest(), own if whole else None, decoded if whole else None))
-            if len(out) == 500 or at == len(index) and len(out):
+            if len(out) == 500:
                 yield batch_of(out)
                 out = []
         if out:
@@ -165,21 +191,21 @@ def _document_rows(path: str, whole: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(path)
-        held: list[tuple[int, bytes]] = []
-        now = None
         for batch in batches:
-            for _, number, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != now and held:
-                    yield from documents(held, tables)
-                    held = []
-                now = number
-                held.append((kind, payload))
-        if held:
-            yield from documents(held, tables)
+            for k in range(batch.num_rows):
+                yield from documents(batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or [], tables)
 
     return rows
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` written to the shared folder in buckets by ``block``: a join by block then leaves them where they are."""
+    spark = rows.sparkSession
+    name = f"corpusflow_blocks_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/corpusflow/{name}").bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_documents(docs: DataFrame, ranks: str = BPE_RANKS, whole: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded)`` for every row of ``docs(doc_id, text)``.
 
@@ -191,12 +217,8 @@ def encode_documents(docs: DataFrame, ranks: str = BPE_RANKS, whole: bool = Fals
     table gives no rows.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    blocks = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_block_rows(parts), _ROWS), "blocks")
+    blocks = _bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_block_rows(parts), _ROWS), parts)
     ids = blocks.where("kind = 1").repartition(parts, "target").mapInArrow(_word_rows(ranks), _ROWS)
-    return (
-        blocks.where("kind = 0")
-        .unionByName(ids)
-        .repartition(parts, "block")
-        .sortWithinPartitions("block", "kind")
-        .mapInArrow(_document_rows(ranks, whole), _RESULT)
-    )
+    ids = ids.groupBy("block").agg(F.collect_list("payload").alias("ids"))  # a block's own words: bounded by the block
+    texts = blocks.where("kind = 0").select("block", "payload")
+    return texts.join(ids, "block", "left").select("payload", "ids").mapInArrow(_document_rows(ranks, whole), _RESULT)
