@@ -83,6 +83,6 @@ def to_documents(cleaned: DataFrame) -> DataFrame:
     day = F.date_format("last_modified", "yyyy-MM-dd")
     metadata = F.create_map(
         *(x for c in ("title", "quick_code", "folder_mini_full_path", "relative_path", "language", "document_type_name", "summary", "version") for x in (F.lit(c), F.col(c))),
-        F.lit("last_modified"), day,
+        F.lit("last_modified"), day, F.lit("last_modified_at"), F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
     )
     return cleaned.where("outcome = 'record'").select(F.col("document_id").alias("source_id"), F.col("page_index").alias("ordinal"), "content", metadata.alias("metadata"))

@@ -54,7 +54,7 @@ def index_export(spark: SparkSession, pages_path: str, index_path: str, tables:
     cache = tables.cache.read()
     cache = cache if cache is not None else spark.createDataFrame([], "content_hash string, vector array<float>")
     embedded, fresh = embed.embed_missing(chunks, cache, embedder, dims)
-    embedded = embedded.withColumn("last_modified", F.to_timestamp(F.col("metadata")["last_modified"])).select("id", "document_id", "page_number", "chunk_index", "heading", "content", "content_hash", "last_modified", "vector").persist()
+    embedded = embedded.withColumn("last_modified", F.to_timestamp(F.col("metadata")["last_modified_at"])).select("id", "document_id", "page_number", "chunk_index", "heading", "content", "content_hash", "last_modified", "vector").persist()
     run["chunks_written"] = embedded.count()
     merged = embedded
     if current is not None:

@@ -67,7 +67,7 @@ def _with_error(rows: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages with ``error`` (null: a record)."""
-    rows = read_rows(spark, path, PAGE_COLUMNS, PAGE_OPTIONAL)
+    rows = read_rows(spark, path, PAGE_COLUMNS, PAGE_OPTIONAL).persist()  # read once for the check and the run
     if longest_failure(rows) >= MAX_FAILURES:
         raise ValueError(f"{MAX_FAILURES} unreadable rows in a row in {path}")
     number = scalar.strict_int(F.col("page_index"))
