@@ -53,9 +53,9 @@ def read_rows(spark: SparkSession, path: str, required: list[str], optional: lis
 
 def longest_failure(rows: DataFrame) -> int:
     """The longest run of unreadable rows."""
-    bad = rows.where("unreadable").select("row_no")
     island = F.col("row_no") - F.row_number().over(Window.orderBy("row_no"))  # unreadable rows of one file
-    return bad.withColumn("island", island).groupBy("island").count().agg(F.max("count")).first()[0] or 0
+    runs = rows.where("unreadable").withColumn("island", island).groupBy("island").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("document_id")).alias("size"))
+    return runs.agg(F.max("n"), F.max("size")).first()[0] or 0  # the second keeps a parsed column in the scan, which Spark asks for
 
 
 def _with_error(rows: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
@@ -67,7 +67,7 @@ def _with_error(rows: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages with ``error`` (null: a record)."""
-    rows = read_rows(spark, path, PAGE_COLUMNS, PAGE_OPTIONAL).persist()  # read once for the check and the run
+    rows = read_rows(spark, path, PAGE_COLUMNS, PAGE_OPTIONAL)
     if longest_failure(rows) >= MAX_FAILURES:
         raise ValueError(f"{MAX_FAILURES} unreadable rows in a row in {path}")
     number = scalar.strict_int(F.col("page_index"))
