@@ -7,9 +7,6 @@ shared folder and reads it back for the next.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 100-byte strings go from the texts; a character that a cut splits goes too."""
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    cut = cut_repeats(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "kept").mapInArrow(decoded, "doc_id long, text string")
+    cut = cut_repeats(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", F.col("kept_text").alias("text"))
     rest = docs.drop("text").join(cut, "doc_id")
     whole = docs.where("doc_id is null")
     return _counted(rest.select(*docs.columns).unionByName(whole))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker looks at together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
         stop = int(np.searchsorted(ends, base + most, side="right"))
-        stop = min(max(stop, begin + 1), begin + 4096)
+        stop = min(max(stop, begin + 1), begin + SLICE_ROWS)
         yield batch.slice(begin, stop - begin)
         begin = stop
 

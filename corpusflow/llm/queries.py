@@ -24,7 +24,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

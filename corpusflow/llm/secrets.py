@@ -164,6 +164,24 @@ def labelled_credentials(docs: DataFrame, most: int = SAMPLE) -> list[str]:
 _RESULT = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
 
 
+def _finder(docs: DataFrame, sample: int, least: float):
+    """A function from a text to its base and added spans; the automaton is fitted on credentials of ``docs``."""
+    words = [w for w in map(symbols, labelled_credentials(docs, sample)) if len(w) >= 12]
+    model = Automaton(sorted(words)) if words else None
+
+    def spans(text: str | None) -> tuple[list, list]:
+        base = base_spans(text or "")
+        added = []
+        for m in _CANDIDATE.finditer(text or "") if model else ():
+            token = m[0]
+            if any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and b > m.start() for a, b, _ in base):
+                if model.likelihood(symbols(token)) >= least:
+                    added.append((m.start(), m.end(), "format"))
+        return base, added
+
+    return spans
+
+
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST, prefix: str = "_s_") -> DataFrame:
     """``docs`` with ``_s_base`` and ``_s_added``: arrays of ``(start, end, kind)`` in code points, in order.
 
@@ -172,53 +190,38 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST, pr
     count as empty.  Repeated rows and null ids are no special case; all rows
     come back with all columns.
     """
-    words = [w for w in map(symbols, labelled_credentials(docs, sample)) if len(w) >= 12]
-    model = Automaton(sorted(words)) if words else None
-    at = docs.columns.index("text")
+    finder, at = _finder(docs, sample, least), docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(prefix + "base", ArrayType(_RESULT)), StructField(prefix + "added", ArrayType(_RESULT))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
-    def added(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        out = []
-        for m in _CANDIDATE.finditer(text):
-            token = m[0]
-            if any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and b > m.start() for a, b, _ in base):
-                if model.likelihood(symbols(token)) >= least:
-                    out.append((m.start(), m.end(), "format"))
-        return out
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                base, more = [], []
-                for text in part.column(at).to_pylist():
-                    base.append(base_spans(text or ""))
-                    more.append(added(text, base[-1]) if model and text else [])
-                columns = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans] for spans in x], kind) for x in (base, more)]
+                found = zip(*map(finder, part.column(at).to_pylist()), strict=True)
+                columns = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans] for spans in x], kind) for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 
     return docs.mapInArrow(rows, schema)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """``docs`` with every span that :func:`find_secrets` reports replaced by ``[kind]`` in ``text``; other columns stay."""
-    found = find_secrets(docs)
-    names = docs.columns
-    at, base, more = (found.columns.index(c) for c in ("text", "_s_base", "_s_added"))
+    finder, names, at = _finder(docs, sample, least), docs.columns, docs.columns.index("text")
+
+    def told(text: str | None) -> str | None:
+        base, added = finder(text)
+        parts, end = [], 0
+        for a, b, kind in sorted([*base, *added], key=lambda s: (s[0], -s[1])):
+            if b > end:
+                if a >= end:
+                    parts += [text[end:a], f"[{kind}]"]
+                end = b
+        return "".join([*parts, text[end:]]) if parts else text
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for k, (a, b) in enumerate(zip(batch.column(base).to_pylist(), batch.column(more).to_pylist(), strict=True)):
-                parts, end = [], 0
-                for span in sorted([*a, *b], key=lambda s: (s["start"], -s["end"])):
-                    if span["end"] > end:
-                        if span["start"] >= end:
-                            parts += [texts[k][end : span["start"]], f"[{span['kind']}]"]
-                        end = span["end"]
-                if parts:
-                    texts[k] = "".join([*parts, texts[k][end:]])
-            columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.mapInArrow(rows, docs.schema)
+            for part in text_slices(batch):
+                texts = pa.array(map(told, part.column(at).to_pylist()), part.column(at).type)
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], names=names)
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -226,7 +226,7 @@ def _shard_rows(length: int):
     return rows
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +242,11 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                out.append((doc, len(data), len(data) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest))
+                out.append((doc, len(data), len(data) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest, rest.decode("utf-8", "ignore")))
             columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
             )
 
 
@@ -272,10 +272,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row of ``docs(doc_id, text)``.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text)`` for every row of ``docs(doc_id, text)``.
 
     ``n_spans`` counts maximal removed runs; ``kept`` holds the other bytes of
-    the UTF-8 text.  Null texts count as empty.  Rows without ``doc_id`` are
+    the UTF-8 text and ``kept_text`` the same as a text, without characters that
+    a cut splits.  Null texts count as empty.  Rows without ``doc_id`` are
     not compared and come back whole.  Rows that repeat a ``doc_id`` must hold
     its text: the row with the smallest SHA-256 is compared, exact repeats of it
     get its result, others come back whole.  Other columns are ignored; an empty
