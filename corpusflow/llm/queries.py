@@ -102,7 +102,22 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+_LOWERED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOWERED_SQL}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+        g as (select doc_id, unnest(s) as g from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as n from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        links as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+        edges as (select a, b from links union all select b, a from links),
+        reach(doc_id, other) as (select a, b from edges union select r.doc_id, e.b from reach r join edges e on r.other = e.a),
+        least_of as (select doc_id, min(other) as other from reach group by 1)
+        select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id, doc_id <= coalesce(other, doc_id) as kept
+        from s left join least_of using (doc_id)
+    """,
     "op7_urls": rf"""
         with parsed as (
             select page_id,
