@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cleaning, scalar
-from .operators import chunk, diff, embed, evaluate, pages, quality, report, retrieve, store, structure
+from .operators import chunk, diff, embed, evaluate, pages, projections, quality, report, retrieve, store, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,7 +475,7 @@ def cache_split(spark: SparkSession, d: str) -> DataFrame:
     select distinct upper(sha256(text)) as content_hash from documents where doc_id % 2 = 0 and doc_id in (select vec_id from embeddings)
     and text not in (select text from documents where doc_id % 3 = 0)""")
 def cache_evict(spark: SparkSession, d: str) -> DataFrame:
-    return store.evict(_cache(spark, d), _hashed(spark, d).where("doc_id % 3 = 0")).select("content_hash")
+    return store.evicted(_cache(spark, d), _hashed(spark, d).where("doc_id % 3 = 0")).select("content_hash")
 
 
 @query("""
@@ -724,3 +724,25 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
 @query("select round(count(*) * 0.01, 2) as cost from pages")
 def analysis_cost(spark: SparkSession, d: str) -> DataFrame:
     return report.pages_cost(_t(spark, d, "pages")).select(F.col("cost").cast("double").alias("cost"))
+
+
+@query("select count(distinct case when doc_id % 6 = 0 then source end) as n_gaps, count(distinct case when doc_id % 2 = 0 then source end) as n_unversioned from documents where doc_id % 5 <> 0")
+def traceability(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    id_, version, path = (F.when(k % n != 0, F.lit("x")).alias(c) for c, n in (("zenya_document_id", 2), ("zenya_version", 2), ("relative_path", 3)))
+    return projections.traceability_counts(_t(spark, d, "documents").select(F.col("source").alias("blob"), (k % 5 != 0).alias("ok"), id_, version, path))
+
+
+@query("select 'c' || doc_id as id, cast(null as varchar) as title, text as content, 0 as page_number, upper(sha256(text)) as content_hash from documents")
+def snapshot_projection(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("id"), F.col("text").alias("content"), F.lit(0).alias("page_number"), scalar.content_hash(F.col("text")).alias("content_hash"))
+    return projections.snapshot_rows(rows).select("id", "title", "content", "page_number", "content_hash")
+
+
+@query("select cast(doc_id as varchar) as document_id, unnest(list_filter([case when doc_id % 2 = 0 then 'no title' end, case when doc_id % 3 = 0 then 'no author' end, case when doc_id % 7 = 0 then 'no bookmarks' end], lambda x: x is not null)) as message from documents")
+def metadata_warnings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    files = _t(spark, d, "documents").select(
+        k.cast("string").alias("blob"), F.when(k % 2 != 0, "t").alias("title"), F.when(k % 3 != 0, "a").alias("author"), F.lit("p").alias("producer"), F.lit("2024-01-01").cast("timestamp").alias("created"), (k % 7).alias("n_bookmarks")
+    )
+    return projections.native_warnings(files, F.lit("2025-01-01").cast("timestamp")).select("document_id", "message")

@@ -22,3 +22,16 @@ def pages_cost(pages: DataFrame, per_page: str = "0.01") -> DataFrame:
 def observed(rows: DataFrame, name: str, **metrics) -> DataFrame:
     """``rows`` unchanged; the metrics are told with the action that reads them."""
     return rows.observe(name, *(c.alias(k) for k, c in metrics.items()))
+
+
+def write_report(report: DataFrame, path: str, environment: str) -> bool:
+    """One JSON row, in development only; whether it was written is returned."""
+    if environment != "Development":
+        return False
+    report.coalesce(1).write.mode("overwrite").json(path)
+    return True
+
+
+def archive(rows: DataFrame, root: str, run_id: str, stage: str) -> None:
+    """The stage's rows of a run, always kept: ``root/stage/run_id=...``."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/{stage}")

@@ -60,6 +60,11 @@ def prune(snapshots: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def evict(cache: DataFrame, live: DataFrame) -> DataFrame:
+    """The cache without the rows that no live chunk needs."""
+    return cache.join(live.select("content_hash").distinct(), "content_hash", "left_semi")
+
+
+def evicted(cache: DataFrame, live: DataFrame) -> DataFrame:
     """Cache rows that no live chunk needs."""
     return cache.join(live.select("content_hash").distinct(), "content_hash", "left_anti")
 
@@ -97,6 +102,10 @@ class Table:
         if self.state() is None:
             self.write(self.spark.createDataFrame([], schema))
 
+    def recreate(self, schema: StructType) -> None:
+        """An empty current version, whatever there was."""
+        self.write(self.spark.createDataFrame([], schema))
+
     def read(self) -> DataFrame | None:
         state = self.state()
         return None if state is None else self.spark.read.schema(StructType.fromJson(state["schema"])).parquet(f"{self.root}/{state['version']}")

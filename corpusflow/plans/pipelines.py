@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, diff, embed, pages, quality, retrieve, store
+from ..functions import cleaning, scalar
+from ..operators import chunk, diff, embed, pages, projections, quality, retrieve, store, structure
 from ..sources import csv_export
 
 
@@ -69,6 +70,54 @@ def index_export(spark: SparkSession, pages_path: str, index_path: str, tables:
     return run
 
 
+def index_files(spark: SparkSession, listing: DataFrame, layouts: DataFrame, tables: IndexTables, embedder: embed.Embedder, dims: int, force: bool = False, outlines: DataFrame | None = None) -> dict:
+    """Index analysed files: diff the listing first, so that unchanged files are never read or cleaned.
+
+    ``listing(blob, modified[, active])`` names all files; ``layouts(blob, layout)``
+    is read for new and updated ones only.  ``outlines(doc, ord, title, level,
+    page, external)`` gives headings.  A file that fails keeps its old chunks.
+    """
+    current = tables.chunks.read()
+    known = diff.indexed_dates(current) if current is not None else spark.createDataFrame([], "key string, indexed timestamp")
+    changes = diff.classify(listing.withColumnRenamed("blob", "document_id"), known, force=force).persist()
+    run = {f"docs_{r['status']}": r["n_docs"] for r in diff.counts(changes).collect()}
+    wanted = changes.where("status in ('new', 'updated')").select("key")
+    parsed = structure.read_layout(layouts.join(wanted, F.upper("blob") == F.col("key"), "left_semi")).persist()
+    found = structure.layout_pages(parsed)
+    context = structure.page_context(structure.layout_items(parsed))
+    body = cleaning.clean_extracted(cleaning.drop_decoration(F.col("content")))
+    rows = found.withColumn("content", body).join(context.select("blob", "page", "items"), ["blob", "page"], "left")
+    if outlines is not None:
+        paths = structure.page_sections(rows.select(F.col("blob").alias("doc"), "page"), structure.breadcrumb_paths(outlines))
+        rows = rows.join(paths.select(F.col("doc").alias("blob"), "page", "path"), ["blob", "page"], "left")
+    else:
+        rows = rows.withColumn("path", F.lit(None).cast("string"))
+    first = F.get(F.filter("items", lambda x: x["kind"] == "heading"), F.lit(0))["content"]
+    rows = rows.withColumn("heading", F.coalesce(F.concat(F.lit("_Section: "), "path", F.lit("_")), first))
+    title = scalar.title_or_stem(F.lit(None).cast("string"), F.col("blob"))
+    documents = rows.select(F.col("blob").alias("source_id"), F.col("page").alias("ordinal"), "content", F.create_map(F.lit("title"), title, F.lit("heading"), F.col("heading")).alias("metadata"), "items", "confidence")
+    chunks = chunk.assemble(chunk.chunk_documents(documents, "paragraph"), documents)
+    extra = projections.with_structure(documents).select(F.col("source_id").alias("document_id"), F.col("ordinal").alias("page_number"), "table_count", "has_table", "page_quality", "figure_captions")
+    chunks = chunks.join(extra, ["document_id", "page_number"]).join(listing.select(F.col("blob").alias("document_id"), F.col("modified").alias("last_modified")), "document_id")
+    cache = tables.cache.read()
+    cache = cache if cache is not None else spark.createDataFrame([], "content_hash string, vector array<float>")
+    embedded, fresh = embed.embed_missing(chunks, cache, embedder, dims)
+    embedded = projections.index_rows(embedded.withColumn("title", F.col("metadata")["title"])).persist()
+    run |= {"chunks_written": embedded.count(), "files_failed": parsed.where("not ok").count()}
+    failed = parsed.where("not ok").select(F.upper("blob").alias("key"))
+    merged = embedded
+    if current is not None:
+        gone = store.orphans(current, changes.where("stale").join(failed, "key", "left_anti"), embedded)
+        merged = store.upsert(store.delete(current, gone), embedded)
+    tables.cache.write(store.evict(cache.unionByName(fresh).dropDuplicates(["content_hash"]), merged))
+    tables.chunks.write(merged)
+    tables.snapshots.write(projections.snapshot_rows(tables.chunks.read()))
+    tables.snapshots.prune()
+    for frame in (changes, parsed, embedded):
+        frame.unpersist()
+    return run
+
+
 def restore_index(tables: IndexTables) -> int:
     """Rebuild the index from the newest snapshot and the vector cache; the number of missing vectors is returned."""
     snapshot, cache = tables.snapshots.read(), tables.cache.read()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import chunk, diff, embed, evaluate, pages, retrieve, store, structure
-from corpusflow.plans.pipelines import GateError, IndexTables, ask, index_export, restore_index
+from corpusflow.plans.pipelines import GateError, IndexTables, ask, index_export, index_files, restore_index
 from corpusflow.session import Config
 from corpusflow.sources import csv_export, files
 from corpusflow.streaming import incremental
@@ -104,6 +104,31 @@ def test_gate_stops_a_bad_run(spark, tmp_path):
         index_export(spark, pages_path, index_path, IndexTables(spark, str(tmp_path / "i")), embed.hashing_embedder(8), 8)
 
 
+def test_files_run_diffs_first(spark, tmp_path):
+    tables = IndexTables(spark, str(tmp_path / "files"))
+    embedder = embed.hashing_embedder(8)
+
+    def layout(text):
+        return json.dumps({"content": text, "pages": [{"pageNumber": 1, "spans": [{"offset": 0, "length": len(text)}]}], "paragraphs": [{"role": "title", "content": "Head", "boundingRegions": [{"pageNumber": 1}]}], "tables": [{"rowCount": 1, "columnCount": 1, "boundingRegions": [{"pageNumber": 1}]}]})
+
+    def state(rows):
+        frame = spark.createDataFrame(rows, "blob string, day int, text string")
+        listing = frame.select("blob", F.timestamp_seconds(F.col("day") * 86400).alias("modified"))
+        return listing, spark.createDataFrame([(b, layout(t) if t else "{}") for b, _, t in rows], "blob string, layout string")
+
+    first = index_files(spark, *state([("my-a.pdf", 1, "Text of a."), ("b.pdf", 1, "Text of b.")]), tables, embedder, 8)
+    assert (first["docs_new"], first["chunks_written"]) == (2, 2)
+    row = tables.chunks.read().where("document_id = 'my-a.pdf'").first()
+    assert (row["content"], row["table_count"], row["has_table"], len(row["vector"])) == ("my a\n\nHead\n\nText of a.", 1, True, 8)
+    second = index_files(spark, *state([("my-a.pdf", 2, "Other text."), ("b.pdf", 2, "")]), tables, embedder, 8)
+    assert (second["docs_updated"], second["files_failed"], second["chunks_written"]) == (2, 1, 1)
+    kept = {r["document_id"]: r["content"] for r in tables.chunks.read().collect()}
+    assert "Other text." in kept["my-a.pdf"] and "Text of b." in kept["b.pdf"]  # a failed file keeps its chunks
+    idle = index_files(spark, *state([("my-a.pdf", 2, "Other text."), ("b.pdf", 1, "x")]), tables, embedder, 8)
+    assert (idle["docs_skipped"], idle["chunks_written"]) == (2, 0)
+    assert restore_index(tables) == 0 and tables.cache.read().count() == 2
+
+
 def test_embedding_retries_and_dimensions(spark):
     rows = spark.createDataFrame([("h1", "a"), ("h2", "b")], "content_hash string, embedding_text string")
 
