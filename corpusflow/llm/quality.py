@@ -33,6 +33,8 @@ SUBSET, STEPS = 0.75, 4
 CUTOFF = 100.0
 #: Groups with fewer rows take the estimate of their language, languages that of all.
 LEAST_ROWS = 100
+#: Parts of a group when rows meet their model, so that a group of any size is several tasks.
+SALTS = 32
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -166,7 +168,8 @@ def _inverted(moments: DataFrame, scale: float) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """One row of the model for each key of ``rows(key, x0 .. x5)``: location and inverse scatter."""
+    """One row of the model for each key of ``rows(key, salt, x0 .. x5)``: location and inverse scatter."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     n = len(FEATURES)
     quartiles = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in FEATURES))
     start = {f"m{i}": F.col(x)[1] for i, x in enumerate(FEATURES)}
@@ -176,9 +179,9 @@ def fit(rows: DataFrame) -> DataFrame:
     model = materialize(quartiles.select("key", "n", *(c.alias(k) for k, c in start.items())), "model")
     scale = SUBSET / _chi2_cdf(chi2_quantile(SUBSET, n), n + 2)
     for _ in range(STEPS):
-        placed = rows.join(model, "key").withColumn("d", _distance())
-        bound = placed.groupBy("key").agg(F.percentile_approx("d", SUBSET, 5000).alias("bound"))
-        within = placed.join(bound, "key").where("d <= bound")
+        placed = rows.join(model.select("*", salts), ["key", "salt"]).withColumn("d", _distance())
+        bound = materialize(placed.groupBy("key").agg(F.percentile_approx("d", SUBSET, 5000).alias("bound")), "bound")
+        within = rows.join(model.join(bound, "key").select("*", salts), ["key", "salt"]).where(_distance() <= F.col("bound"))
         sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
         moments = within.groupBy("key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("used"), *sums)
         model = materialize(_inverted(moments, scale), "model")
@@ -204,7 +207,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     needed = [c for c in ("text", "lang", "source") if c in docs.columns]
     seen = materialize(prepared(docs.select(*needed)).where("not _q_base_failed").select("_q_key", "_q_lang", *(F.col(q).alias(x) for q, x in zip(FEATURES_Q, FEATURES, strict=True))), "statistics")
     keys = F.explode(F.array("_q_key", "_q_lang", F.lit("\2")))
-    model = fit(seen.select(keys.alias("key"), *FEATURES))
+    salted = seen.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # of a written table: the same at every try
+    model = fit(salted.select(keys.alias("key"), "salt", *FEATURES))
     groups = seen.select("_q_key", "_q_lang").distinct()
     own, language, every = (model.select(F.col("key").alias(k), F.struct("n", *_MODEL).alias(a)) for k, a in (("_q_key", "own"), ("_q_lang", "language"), ("_q_all", "every")))
     groups = groups.withColumn("_q_all", F.lit("\2")).join(own, "_q_key", "left").join(language, "_q_lang", "left").join(every, "_q_all", "left")
