@@ -3,9 +3,9 @@
 A byte of a document goes if a string of ``length`` bytes that covers it also
 starts earlier (in a smaller ``doc_id``, or earlier in the same document).
 
-Anchors: every window of ``length`` bytes picks its grams of ``GRAM`` bytes with
+Anchors: every window of ``length`` bytes picks its first gram of ``GRAM`` bytes with
 the smallest hash, so equal windows pick equal anchors at equal places.  An
-anchor's piece is what its windows may cover.  Pieces of one anchor that are
+anchor's piece is what the windows that picked it cover.  Pieces of one anchor that are
 equal as a whole are counted together before anything is sorted (the first in
 the corpus stays, the others are covered), in each task before the shuffle and
 again after it.  Anchors left with different pieces are where texts part ways:
@@ -40,19 +40,22 @@ COMBINE_BYTES = 8 * SLICE_BYTES
 SHARD_BYTES = 1 << 20
 
 
-def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` of ``values[i : i + width]`` for each i; the last ones see a shorter run."""
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``values[i : i + width]`` for each i; the last ones see a shorter run."""
     out, done = values.copy(), 1
     while done < width:
         step = min(done, width - done)
-        out[:-step] = pick(out[:-step], out[step:])
+        out[:-step] = np.minimum(out[:-step], out[step:])
         done += step
     return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, place in it, bytes to its left and right in its piece, gram hash and piece hash of each anchor."""
-    span = length - GRAM
+    """Row, place in it, bytes to its left and right in its piece, gram hash and piece hash of each anchor.
+
+    A window's anchor is the first of its grams with the smallest hash; the
+    windows of one anchor are consecutive, and its piece is their bytes.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -60,17 +63,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     sums = kernels.prefix_hash(data)
     place = np.arange(n - GRAM + 1)
     grams = kernels.range_hash(sums, place, place + GRAM)
-    top = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-    top[: len(grams)] = (grams >> np.uint64(32)).astype(np.uint32)
-    for end, begin in zip(offsets[1:].tolist(), offsets[:-1].tolist(), strict=True):
-        top[max(begin, end - GRAM + 1) : end] = np.iinfo(np.uint32).max
-    least = _sliding(top, span + 1, np.minimum)
-    for end, begin in zip(offsets[1:].tolist(), offsets[:-1].tolist(), strict=True):
-        least[max(begin, end - length + 1) : end] = 0
-    highest = _sliding(least[::-1], span + 1, np.maximum)[::-1]
-    at = np.flatnonzero((highest[: len(grams)] == top[: len(grams)]) & (top[: len(grams)] != np.iinfo(np.uint32).max))
-    row = np.searchsorted(offsets, at, side="right") - 1
-    start, end = np.maximum(offsets[row], at - span), np.minimum(offsets[row + 1], at + length)
+    rank = grams & np.uint64(0xFFFFFFFF00000000) | place.astype(np.uint64)
+    picked = (_sliding_least(rank, length - GRAM + 1)[: n - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    row = np.searchsorted(offsets, np.arange(len(picked)), side="right") - 1
+    window = np.flatnonzero(offsets[row + 1] - np.arange(len(picked)) >= length)  # those within one row
+    picked, row = picked[window], row[window]
+    first = np.flatnonzero(np.append(True, picked[1:] != picked[:-1]))[: len(picked)]
+    last = np.append(first[1:], len(picked)) - 1
+    at, row, start, end = picked[first], row[first], window[first], window[last[: len(first)]] + length
     whole = kernels.mix(kernels.range_hash(sums, start, end) + (at - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return row, at - offsets[row], at - start, end - at, grams[at], whole
 
