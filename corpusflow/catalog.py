@@ -729,7 +729,7 @@ def analysis_cost(spark: SparkSession, d: str) -> DataFrame:
 @query("select count(distinct case when doc_id % 6 = 0 then source end) as n_gaps, count(distinct case when doc_id % 2 = 0 then source end) as n_unversioned from documents where doc_id % 5 <> 0")
 def traceability(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    id_, version, path = (F.when(k % n != 0, F.lit("x")).alias(c) for c, n in (("zenya_document_id", 2), ("zenya_version", 2), ("relative_path", 3)))
+    id_, version, path = (F.when(k % n != 0, F.lit("x")).alias(c) for c, n in (("register_document_id", 2), ("register_version", 2), ("relative_path", 3)))
     return projections.traceability_counts(_t(spark, d, "documents").select(F.col("source").alias("blob"), (k % 5 != 0).alias("ok"), id_, version, path))
 
 

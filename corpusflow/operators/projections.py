@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 INDEX_COLUMNS = {
     "id": "string", "document_id": "string", "title": "string", "summary": "string", "content": "string", "heading": "string", "page_number": "int", "chunk_index": "int", "language": "string", "version": "string",
     "document_type": "string", "relative_path": "string", "last_modified": "timestamp", "content_hash": "string", "table_count": "int", "has_table": "boolean", "page_quality": "double", "figure_captions": "array<string>",
-    "zenya_document_id": "string", "vector": "array<float>",
+    "register_document_id": "string", "vector": "array<float>",
 }
 SNAPSHOT_COLUMNS = ["id", "document_id", "title", "last_modified", "content", "heading", "page_number", "chunk_index", "content_hash"]
 #: Search behaviour of the text columns: fields searched and returned.
@@ -43,16 +43,16 @@ def with_structure(chunks: DataFrame, items: str = "items", confidence: str = "c
 
 def lifecycle(metadata: Column) -> Column:
     """Four nullable texts of an external register from a file's metadata map."""
-    return F.struct(*(F.element_at(metadata, k).alias(k) for k in ("zenya_document_id", "zenya_version", "zenya_status", "relative_path")))
+    return F.struct(*(F.element_at(metadata, k).alias(k) for k in ("register_document_id", "register_version", "register_status", "relative_path")))
 
 
 def traceability_gap(rows: DataFrame) -> Column:
-    return F.col("zenya_document_id").isNull() & F.col("relative_path").isNull()
+    return F.col("register_document_id").isNull() & F.col("relative_path").isNull()
 
 
 def traceability_counts(files: DataFrame) -> DataFrame:
     """Distinct good files that no register entry leads to, and those without a version."""
-    return files.where("ok").agg(F.count_distinct(F.when(traceability_gap(files), F.col("blob"))).alias("n_gaps"), F.count_distinct(F.when(F.col("zenya_version").isNull(), F.col("blob"))).alias("n_unversioned"))
+    return files.where("ok").agg(F.count_distinct(F.when(traceability_gap(files), F.col("blob"))).alias("n_gaps"), F.count_distinct(F.when(F.col("register_version").isNull(), F.col("blob"))).alias("n_unversioned"))
 
 
 def native_warnings(files: DataFrame, now: Column | None = None) -> DataFrame:
