@@ -215,6 +215,9 @@ def encode_documents(docs: DataFrame, ranks: str = BPE_RANKS, whole: bool = Fals
     that the ids decode to.  Null and empty texts have no tokens.  Repeated and
     null ``doc_id`` are no special case.  Other columns are ignored; an empty
     table gives no rows.
+
+    The blocks are an external table ``corpusflow_blocks_*`` over the shared
+    folder, which may be dropped once the result has been read.
     """
     parts = shuffle_partitions(docs.sparkSession)
     blocks = _bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_block_rows(parts), _ROWS), parts)
