@@ -124,6 +124,13 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, odd, tmp_path):
     assert {p["doc_id"] for p in pieces if p["doc_id"] is not None} == set(texts)
 
 
+def test_pipeline_stages_on_empty_and_clashing_tables(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == [], name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, "").columns == odd.columns, name
+
+
 def test_registered_queries():
     assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k != "pipeline"} == {str(k) for k in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
