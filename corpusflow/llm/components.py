@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _summary(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has two parents, or is a parent and has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not seen.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,15 +39,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the smallest node reachable.  Each step is a minimum by
     node (combined before the shuffle) and a join that AQE can split; nothing
-    but two numbers per round reaches the driver.  Self-loops and repeated
+    but one answer per round reaches the driver.  Self-loops and repeated
     edges are ignored, null ends too; no edges give no rows.
     """
-    edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    seen = _summary(edges)
-    while seen[0]:
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    edges = materialize(edges.where("u is not null and v is not null").distinct(), "edges")
+    while _unfinished(edges):
         stepped = materialize(_small_star(_large_star(edges)), "edges")
         discard(edges)
-        edges, before, seen = stepped, seen, _summary(stepped)
-        if seen == before:
-            break
+        edges = stepped
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = buckets.withColumn("level", level.cast("int"))
     chosen = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(chosen.mapInArrow(_set_rows(size), "rep long, shingles array<long>"), "shingles")
+    looked_at = materialize(nodes.join(sets, "rep"), "looked-at")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
     stars = stars.join(nodes.alias("a"), F.col("u") == F.col("a.rep")).join(nodes.alias("b"), F.col("v") == F.col("b.rep"))
-    stars = stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v")
+    stars = materialize(stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v"), "stars")
     stars = stars.join(sets.alias("a"), F.col("u") == F.col("a.rep")).join(sets.alias("b"), F.col("v") == F.col("b.rep"))
     repeated = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
     links = materialize(stars.where(_linked("a", "b", percent)).select("u", "v").unionByName(repeated), "links")
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("last"))
         mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("last") >= depth)).select("key")
-        open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(nodes, "rep").join(sets, "rep"), "open")
+        open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(looked_at, "rep"), "open")
         a, b = open_.where(F.col("level") == depth).alias("a"), open_.alias("b")
         later = (F.col("b.level") > F.col("a.level")) | (F.col("b.rep") > F.col("a.rep"))
         near = later & _alike("a", "b", percent, bands * rows) & _linked("a", "b", percent)
