@@ -1,9 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame expressions only.
 
 Texts become their words joined by single spaces.  A rule is a regular
-expression over them with a keyword, a priority and a confidence.  A document
+expression over them with keywords, a priority and a confidence.  A document
 is looked at only if the gate finds a word that some rule needs, and meets only
-the rules whose keyword it contains.  Detections are intervals of words; one
+the rules of which it contains a keyword; every match holds one.  Detections are intervals of words; one
 that lies within another of the same or a higher priority is suppressed.
 """
 
@@ -17,22 +17,22 @@ from .common import materialize
 #: Phrases of the contract and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Label, keyword that the text must hold, names (over lower-case words), in natural order.
+#: Label, keywords of which every match holds one (``*``: a word that starts so), names (over lower-case words), in natural order.
 NAMES = [
-    ("0bsd", "bsd", r"(?:0bsd|0 clause bsd|bsd zero clause|zero clause bsd)"),
+    ("0bsd", "0bsd|bsd", r"(?:0bsd|0 clause bsd|bsd zero clause|zero clause bsd)"),
     ("afl", "academic", r"academic free(?: license)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public(?: license)?"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v?3)?"),
+    ("agpl", "agpl*", r"(?:gnu )?agpl(?:v?3)?"),
     ("apache", "apache", r"apache(?: software)?(?: license)?(?: version)?(?: 1 0| 1 1| 2 0| 2)?"),
     ("apsl", "apple", r"apple public source"),
     ("artistic", "artistic", r"(?:perl )?artistic"),
     ("beerware", "beerware", r"beerware"),
     ("bitstream", "bitstream", r"bitstream vera(?: font)?"),
     ("blueoak", "blue", r"blue oak model"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)"),
-    ("bsd", "bsd", r"(?:berkeley software distribution|bsd(?: style)?)"),
+    ("bsd", "bsd|berkeley", r"(?:berkeley software distribution|bsd(?: style)?)"),
     ("bsl", "boost", r"boost software"),
     ("busl", "business", r"business source"),
     ("cc-by", "attribution", r"(?:creative commons |cc )?attribution(?: international)?"),
@@ -56,19 +56,19 @@ NAMES = [
     ("fair", "fair", r"fair source"),
     ("fdl", "documentation", r"(?:gnu )?free documentation"),
     ("gpl", "general", r"(?:gnu )?general public(?: license)?"),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?: ?v?[123])?"),
+    ("gpl", "gpl*", r"(?:gnu )?gpl(?: ?v?[123])?"),
     ("isc", "isc", r"isc"),
     ("json", "json", r"json"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public(?: license)?"),
     ("lgpl", "library", r"(?:gnu )?library general public(?: license)?"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: ?v?[23])?"),
+    ("lgpl", "lgpl*", r"(?:gnu )?lgpl(?: ?v?[23])?"),
     ("llama", "llama", r"llama(?: 2| 3)? community"),
     ("lppl", "latex", r"latex project public"),
     ("mit", "mit", r"mit"),
     ("mit", "expat", r"expat"),
     ("mit-0", "mit", r"mit (?:0|no attribution)"),
     ("mpl", "mozilla", r"mozilla public"),
-    ("mpl", "mpl", r"mpl(?: ?[12](?: [01])?)?"),
+    ("mpl", "mpl*", r"mpl(?: ?[12](?: [01])?)?"),
     ("ms-pl", "microsoft", r"microsoft public"),
     ("ms-rl", "microsoft", r"microsoft reciprocal"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
@@ -79,7 +79,7 @@ NAMES = [
     ("postgresql", "postgresql", r"postgresql"),
     ("psf", "python", r"python(?: software foundation)?"),
     ("qpl", "q", r"q public"),
-    ("rail", "rail", r"(?:open )?(?:responsible ai|rail(?: m)?)"),
+    ("rail", "rail|responsible ai", r"(?:open )?(?:responsible ai|rail(?: m)?)"),
     ("ruby", "ruby", r"ruby"),
     ("sspl", "server", r"server side public"),
     ("sleepycat", "sleepycat", r"sleepycat"),
@@ -87,7 +87,7 @@ NAMES = [
     ("upl", "universal", r"universal permissive"),
     ("vim", "vim", r"vim"),
     ("w3c", "w3c", r"w3c(?: software)?"),
-    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the fuck you want to public)"),
+    ("wtfpl", "wtfpl|fuck", r"(?:wtfpl|do what the fuck you want to public)"),
     ("zlib", "zlib", r"(?:zlib|zlib libpng)"),
     ("zpl", "zope", r"zope public"),
 ]
@@ -98,7 +98,7 @@ FORMS = [
     (r"{name} (?:public )?licen[cs]ed?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?", 1, 0.8),
     (r"licen[cs]e (?:is |name |type )?(?:the )?{name}", 1, 0.7),
 ]
-#: Wording of license texts: label, keyword, pattern, priority, confidence.
+#: Wording of license texts: label, keywords, pattern, priority, confidence.
 WORDING = [
     ("apache", "perpetual", r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", 2, 0.95),
     ("apache", "compliance", r"you may not use this file except in compliance with the license", 2, 0.9),
@@ -106,7 +106,7 @@ WORDING = [
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 2, 0.9),
     ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission", 2, 0.95),
     ("bsl", "boost", r"boost software license version 1 0", 2, 0.95),
-    ("cc0", "waive", r"waives? (?:all )?(?:of )?(?:his or her|their|its) rights to the work", 2, 0.8),
+    ("cc0", "waive|waives", r"waives? (?:all )?(?:of )?(?:his or her|their|its) rights to the work", 2, 0.8),
     ("epl", "eclipse", r"the accompanying materials are made available under the terms of the eclipse public license", 2, 0.95),
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 2, 0.98),
     ("isc", "copy", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 2, 0.95),
@@ -117,8 +117,8 @@ WORDING = [
     ("proprietary", "rights", r"all rights reserved", 0, 0.4),
     ("proprietary", "confidential", r"confidential and proprietary", 1, 0.7),
     ("public-domain", "domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain", 2, 0.9),
-    ("unlicense", "encumbered", r"free and unencumbered software released into the public domain", 3, 0.98),
-    ("wtfpl", "wtf", r"you just do what the fuck you want to", 2, 0.9),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 3, 0.98),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to", 2, 0.9),
     ("zlib", "altered", r"altered source versions must be plainly marked as such", 2, 0.9),
 ]
 #: A text without any of these holds no rule's match.
@@ -128,12 +128,21 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """``(number, label, keyword, pattern, priority, confidence)`` of every rule, in order."""
+    """``(number, label, keywords, pattern, priority, confidence)`` of every rule, in order."""
     named = [(label, word, form.replace("{name}", name), priority, sure) for label, word, name in NAMES for form, priority, sure in FORMS]
     based = [(label, "license", phrase, 0, 0.6) for phrase, label in BASE]
     return [(k, *rule[:2], rf"(?<= )(?:{rule[2]})(?= )", *rule[3:]) for k, rule in enumerate([*named, *WORDING, *based])]
 
 
+def keywords() -> dict[str, list[int]]:
+    """What a normal text may hold, and the numbers of the rules that are tried then."""
+    out: dict[str, list[int]] = {}
+    for k, _, words, *_ in rules():
+        for word in words.split("|"):
+            out.setdefault(f" {word[:-1]}" if word.endswith("*") else f" {word} ", []).append(k)
+    return out
+
+
 def _normal(text: Column) -> Column:
     """The words of a text, each after one space, and a space at the end."""
     words = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -146,8 +155,11 @@ def _spaces(text: Column) -> Column:
 
 def _detections(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``(row, first, last, label, priority, sure)``: what the rules find in ``rows(row, words)``, before suppression."""
-    table = ", ".join(f"named_struct('rule', {k}, 'label', '{label}', 'keyword', ' {word} ', 'pattern', r'{pattern}', 'priority', {priority}, 'sure', {sure}D)" for k, label, word, pattern, priority, sure in rules())
-    hit = rows.withColumn("rule", F.explode(F.filter(F.expr(f"array({table})"), lambda r: F.contains(F.col("words"), r["keyword"]))))
+    table = ", ".join(f"named_struct('rule', {k}, 'label', '{label}', 'pattern', r'{pattern}', 'priority', {priority}, 'sure', {sure}D)" for k, label, _, pattern, priority, sure in rules())
+    gates = ", ".join(f"named_struct('keyword', '{word}', 'rules', array({', '.join(map(str, numbers))}))" for word, numbers in keywords().items())
+    open_ = F.filter(F.expr(f"array({gates})"), lambda g: F.contains(F.col("words"), g["keyword"]))
+    tried = rows.withColumn("k", F.explode(F.array_distinct(F.flatten(F.transform(open_, lambda g: g["rules"])))))
+    hit = tried.withColumn("rule", F.get(F.expr(f"array({table})"), F.col("k"))).drop("k")
     found = hit.withColumn("matches", F.regexp_extract_all("words", F.col("rule.pattern"), F.lit(0))).where(F.size("matches") > 0)
     found = found.withColumn("parts", F.split("words", F.col("rule.pattern"), -1))
     each = found.select("row", "rule", F.posexplode(F.arrays_zip("parts", "matches")).alias("k", "at")).where("at.matches is not null")

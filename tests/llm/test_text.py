@@ -1,6 +1,7 @@
 """Licenses, packing, BPE, quality, secrets on odd rows and against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -41,6 +42,71 @@ def test_licenses_priority_and_containment(spark):
     assert len(licenses.rules()) >= 200
 
 
+def _ways(pattern, every=True):
+    """Texts that a rule matches: one for each way through it, or (without ``every``) one for each branch and option of it."""
+
+    def several(parts):
+        ways = [part if isinstance(part, list) else walk([part]) for part in parts]
+        if every:
+            return ["".join(x) for x in itertools.product(*ways)]
+        first = [w[0] for w in ways]
+        return list(dict.fromkeys("".join([*first[:n], x, *first[n + 1 :]]) for n, w in enumerate(ways) for x in w)) or [""]
+
+    def walk(parsed):
+        out = []
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out.append([chr(arg)])
+            elif name == "IN":
+                out.append([c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else map(chr, range(a[0], a[1] + 1)))])
+            elif name == "BRANCH":
+                out.append([x for branch in arg[1] for x in walk(branch)])
+            elif name == "SUBPATTERN":
+                out.append(walk(arg[3]))
+            elif name == "MAX_REPEAT":
+                out.append([*([""] if arg[0] == 0 else []), *walk(arg[2])])
+            else:
+                assert name == "ASSERT" or name == "AT", name
+        return several(out)
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_every_way_through_a_license_rule_has_a_keyword():
+    words = licenses.keywords()
+    rules = licenses.rules()
+    tried = 0
+    for label, _, name in licenses.NAMES:
+        own = [r for r in rules if r[1] == label and r[3].count(name)]
+        assert len(own) >= len(licenses.FORMS)
+        for form in _ways(name):
+            for k, _, _, pattern, _, _ in own:
+                for text in _ways(pattern.replace(name, "NAME"), every=False):
+                    text = f" {text.replace('NAME', form)} "
+                    if re.search(pattern, text):
+                        tried += 1
+                        assert any(k in numbers and word in text for word, numbers in words.items()), (label, text)
+    for k, label, _, pattern, _, _ in rules[len(licenses.NAMES) * len(licenses.FORMS) :]:
+        for text in _ways(pattern):
+            tried += 1
+            assert any(k in numbers and word in f" {text} " for word, numbers in words.items()), (label, text)
+    assert tried > 5000 and {k for numbers in words.values() for k in numbers} == {r[0] for r in rules}
+
+
+def test_licenses_named_in_one_word_or_by_other_words(spark):
+    texts = {
+        "licensed under the GPLv3": "gpl", "GPLv2 license": "gpl", "licensed under LGPLv3": "lgpl", "licensed under AGPLv3": "agpl", "MPL2 license": "mpl",
+        "SPDX-License-Identifier: 0BSD": "0bsd", "released under FreeBSD license": "bsd-2-clause", "Berkeley Software Distribution license": "bsd", "Responsible AI license": "rail",
+        "do what the fuck you want to public license": "wtfpl", "waives all of his or her rights to the work": "cc0", "free and unencumbered software released into the public domain": "unlicense",
+        "the MIT license": "mit",
+    }
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        assert texts[text] in found[k]["labels"].split(",") and found[k]["score"] > 0, text
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
