@@ -122,7 +122,7 @@ WORDING = [
     ("zlib", "altered", r"altered source versions must be plainly marked as such", 2, 0.9),
 ]
 #: A text without any of these holds no rule's match.
-GATE = r"(?i)licen|spdx|permission|warrant|redistribut|public domain|all\W+rights|confidential|waive|endorse|altered|(?:released|distributed|published|offered|available|provided|used)\W+under"
+GATE = r"(?i)licen|spdx|permission|warrant|redistribut|public[\W_]+domain|all[\W_]+rights|confidential|waive|endorse|altered|perpetual|fuck|(?:released|distributed|published|offered|available|provided|used)[\W_]+under"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

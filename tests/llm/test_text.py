@@ -94,6 +94,25 @@ def test_every_way_through_a_license_rule_has_a_keyword():
     assert tried > 5000 and {k for numbers in words.values() for k in numbers} == {r[0] for r in rules}
 
 
+def test_every_way_through_a_license_rule_passes_the_gate():
+    for form, _, _ in licenses.FORMS:
+        for text in _ways(form.replace("{name}", "NAME")):
+            for between in (" ", "\n", "_", "  \r\n"):
+                assert re.search(licenses.GATE, text.replace(" ", between), re.ASCII), text
+    for text in [x for _, _, pattern, _, _ in licenses.WORDING for x in _ways(pattern)] + [phrase for phrase, _ in licenses.BASE]:
+        for between in (" ", "\n", "_", "  \r\n"):
+            assert re.search(licenses.GATE, text.upper().replace(" ", between), re.ASCII), text
+
+
+def test_licenses_of_wrapped_texts_and_rare_words(spark):
+    apache = "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"
+    texts = {"dedicated to the public\ndomain": "public-domain", "in the public  domain": "public-domain", "ALL_RIGHTS RESERVED": "proprietary", "released_under the MIT": "mit", apache: "apache", "you just do what the fuck you want to": "wtfpl"}
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        assert found[k]["labels"] == texts[text] and found[k]["score"] > 0, text
+
+
 def test_licenses_named_in_one_word_or_by_other_words(spark):
     texts = {
         "licensed under the GPLv3": "gpl", "GPLv2 license": "gpl", "licensed under LGPLv3": "lgpl", "licensed under AGPLv3": "agpl", "MPL2 license": "mpl",
