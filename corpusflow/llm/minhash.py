@@ -78,8 +78,6 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signer(size: int, bands: int, rows: int, least: int):
-    words = bands * rows // 32
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(bands * rows)
         for batch in batches:
@@ -88,11 +86,8 @@ def _signer(size: int, bands: int, rows: int, least: int):
                 sets = kernels.shingle_sets(*kernels.word_hashes(data, offsets), size)
                 big = [k for k, s in enumerate(sets) if len(s) >= least]
                 keys: list = [None] * len(sets)
-                sketch = np.zeros((len(sets), words), np.int64)
                 if big:
                     signatures = one_permutation([sets[k] for k in big], bands * rows, probes)
-                    bits = kernels.mix(signatures + np.uint64(11))
-                    sketch[big] = np.hstack([np.packbits((bits >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(2)])
                     for k, row in zip(big, band_keys(signatures, bands).view(np.int64), strict=True):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
@@ -101,9 +96,8 @@ def _signer(size: int, bands: int, rows: int, least: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
-                        *(pa.array(sketch[:, k]) for k in range(words)),
                     ],
-                    names=["doc_id", "n_shingles", "fingerprint", "keys", *(f"s{k}" for k in range(words))],
+                    names=["doc_id", "n_shingles", "fingerprint", "keys"],
                 )
 
     return sign
@@ -124,19 +118,10 @@ def _linked(a: str, b: str, percent: int) -> Column:
     return both * (100 + percent) >= percent * (F.size(f"{a}.shingles") + F.size(f"{b}.shingles"))
 
 
-def _alike(a: str, b: str, percent: int, bins: int) -> Column:
-    """What every linked pair meets: sizes in proportion and, but for one in a million, enough equal bins.
-
-    Two bits of each bin tell three quarters of the unequal bins.
-    """
-    half = bins // 64
-    apart = sum(
-        F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")).bitwiseOR(F.col(f"{a}.s{k + half}").bitwiseXOR(F.col(f"{b}.s{k + half}")))) for k in range(half)
-    )
-    p = 0.75 * (1 - percent / 100)
-    most = int(np.ceil(bins * p + 4.75 * np.sqrt(bins * p * (1 - p))))
+def _alike(a: str, b: str, percent: int) -> Column:
+    """What every linked pair meets: sizes in proportion."""
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * small >= percent * large) & (apart <= most)
+    return 100 * small >= percent * large
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
@@ -154,13 +139,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
-    sketch = [f"s{k}" for k in range(bands * rows // 32)]
-    schema = "doc_id long, n_shingles long, fingerprint binary, keys array<long>" + "".join(f", {c} long" for c in sketch)
+    schema = "doc_id long, n_shingles long, fingerprint binary, keys array<long>"
     signed = materialize(docs.mapInArrow(_signer(size, bands, rows, least), schema), "signed")
     # Equal sets first: they are one node, named by their smallest doc_id.
     sets = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "sets")
     members = materialize(signed.select("doc_id", "n_shingles", "fingerprint").join(sets, "fingerprint", "left").drop("fingerprint"), "members")
-    nodes = signed.where("keys is not null").select(F.col("doc_id").alias("rep"), "fingerprint", "n_shingles", *sketch)
+    nodes = signed.where("keys is not null").select(F.col("doc_id").alias("rep"), "fingerprint", "n_shingles")
     nodes = materialize(nodes.join(sets, ["rep", "fingerprint"], "left_semi").drop("fingerprint").dropDuplicates(["rep"]), "nodes")
     keyed = (
         signed.where("keys is not null")
@@ -181,7 +165,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     looked_at = materialize(nodes.join(sets, "rep"), "looked-at")
     stars = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
     stars = stars.join(nodes.alias("a"), F.col("u") == F.col("a.rep")).join(nodes.alias("b"), F.col("v") == F.col("b.rep"))
-    stars = materialize(stars.where(_alike("a", "b", percent, bands * rows)).select("u", "v"), "stars")
+    stars = materialize(stars.where(_alike("a", "b", percent)).select("u", "v"), "stars")
     stars = stars.join(sets.alias("a"), F.col("u") == F.col("a.rep")).join(sets.alias("b"), F.col("v") == F.col("b.rep"))
     repeated = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
     links = materialize(stars.where(_linked("a", "b", percent)).select("u", "v").unionByName(repeated), "links")
@@ -194,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(looked_at, "rep"), "open")
         a, b = open_.where(F.col("level") == depth).alias("a"), open_.alias("b")
         later = (F.col("b.level") > F.col("a.level")) | (F.col("b.rep") > F.col("a.rep"))
-        near = later & _alike("a", "b", percent, bands * rows) & _linked("a", "b", percent)
+        near = later & _alike("a", "b", percent) & _linked("a", "b", percent)
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near)
         more = materialize(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "links")
         discard(open_)

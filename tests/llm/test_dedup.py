@@ -4,13 +4,16 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import near_components, removed_bytes
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusflow.llm import kernels
+from corpusflow.llm.common import flat_bytes
 from corpusflow.llm.components import connected_components
-from corpusflow.llm.minhash import near_duplicates, one_permutation
+from corpusflow.llm.minhash import band_keys, near_duplicates, one_permutation
 from corpusflow.llm.substrings import cut_repeats
 from corpusflow.llm.suffix import common_prefixes, suffix_array
 
@@ -37,6 +40,20 @@ def test_near_duplicates_of_a_large_group_of_near_misses(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(near_components(rows, 4))
 
 
+def test_near_duplicates_of_short_documents_that_share_a_band(spark):
+    """Few shingles fill all bins with copies: what shares a band is still decided on the sets."""
+    rows = []
+    for n in range(4000):
+        words = [f"w{n}_{k}" for k in range(8)]
+        rows += [(2 * n, " ".join(words[:7])), (2 * n + 1, " ".join(words))]
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    texts = pa.array([text for _, text in rows])
+    sets = kernels.shingle_sets(*kernels.word_hashes(*flat_bytes(texts)), 4)
+    keys = band_keys(one_permutation(sets, 512), 64)
+    banded = [2 * n for n in range(4000) if (keys[2 * n] == keys[2 * n + 1]).any()]
+    assert len(banded) > 3000 and all(found[d] == found[d + 1] == d for d in banded)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).collect() == []
 
