@@ -27,12 +27,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the automaton looks at: long runs of credential characters with a digit.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,200}")
+#: What the automaton looks at: long runs of credential characters with a digit, each as a whole.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Credentials that the automaton is fitted on at most.
 SAMPLE = 4000
-#: Confidence of the merge test, and symbols of a credential that the automaton reads.
+#: Confidence of the merge test, and symbols of a credential that the automaton is fitted on.
 ALPHA, DEPTH = 0.05, 48
 #: Least mean log-likelihood per symbol of a reported token.
 LEAST = -2.2
@@ -51,8 +51,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def symbols(token: str) -> str:
-    """Classes of characters: digit, hexadecimal letter, other small letter, capital, mark."""
-    return "".join("d" if c.isdigit() else "h" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else "m" for c in token[:DEPTH])
+    """Classes of all characters: digit, hexadecimal letter, other small letter, capital, mark."""
+    return "".join("d" if c.isdigit() else "h" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else "m" for c in token)
 
 
 class Automaton:
@@ -166,7 +166,7 @@ _RESULT = StructType([StructField("start", IntegerType()), StructField("end", In
 
 def _finder(docs: DataFrame, sample: int, least: float):
     """A function from a text to its base and added spans; the automaton is fitted on credentials of ``docs``."""
-    words = [w for w in map(symbols, labelled_credentials(docs, sample)) if len(w) >= 12]
+    words = [w for w in (symbols(c[:DEPTH]) for c in labelled_credentials(docs, sample)) if len(w) >= 12]
     model = Automaton(sorted(words)) if words else None
 
     def spans(text: str | None) -> tuple[list, list]:
@@ -186,7 +186,8 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST, pr
     """``docs`` with ``_s_base`` and ``_s_added``: arrays of ``(start, end, kind)`` in code points, in order.
 
     ``_s_base`` holds the fixed patterns' spans, ``_s_added`` tokens with a digit
-    and a letter, outside those, that the automaton finds likely.  Null texts
+    and a letter, outside those, that the automaton finds likely over all their
+    symbols; a token is a whole run, however long.  Null texts
     count as empty.  Repeated rows and null ids are no special case; all rows
     come back with all columns.
     """

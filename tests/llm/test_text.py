@@ -295,5 +295,20 @@ def test_automaton_generalises():
     assert min(map(model.likelihood, held)) > secrets.LEAST > max(map(model.likelihood, words))
 
 
+def test_long_secrets_are_whole_and_read_to_their_end(spark):
+    rng = random.Random(10)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    rows = [(k, f"token={key(rng.randint(40, 90))} end") for k in range(400)]
+    long, longer = key(210), key(1500)
+    start = key(48)
+    rows += [(1000, f"see {long} there"), (1001, f"see {longer} there"), (1002, start), (1003, start + "_-=" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["_s_added"]] for r in secrets.find_secrets(docs).collect()}
+    assert spans[1000] == [(4, 214, "format")] and spans[1001] == [(4, 1504, "format")]
+    assert spans[1002] == [(0, 48, "format")] and spans[1003] == []  # the same start, another rest
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert texts[1000] == texts[1001] == "see [format] there"
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.find_secrets(empty).collect() == []
