@@ -126,6 +126,17 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def _once(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places of the first of each repeated (id, row), in order."""
+    _, group, size = np.unique(ids, return_inverse=True, return_counts=True)
+    seen, keep = set(), np.ones(len(ids), bool)
+    for at in np.flatnonzero(size[group] > 1).tolist():
+        key = (int(ids[at]), (rows[at] + 0.0).tobytes())
+        keep[at] = key not in seen
+        seen.add(key)
+    return np.flatnonzero(keep)
+
+
 def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
     return rows, rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
@@ -188,17 +199,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             have, want = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             if not len(have):
                 return
+            have = have[_once(ids[have], raw[have])]
+            # Rows of one vec_id with equal scores are one result, so k results may take so many rows.
+            most = k * int(np.unique(ids[have], return_counts=True)[1].max())
             for at in range(0, len(want), 512):
                 own = want[at : at + 512]
                 score = (raw[own] @ raw[have].T) / (norm[own][:, None] * norm[have][None, :])
                 score[ids[own][:, None] == ids[have][None, :]] = -np.inf
                 # Ties at the last place: keep all whose score reaches the k-th, then order.
-                n = min(k, len(have))
+                n = min(most, len(have))
                 least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
                 q, v = np.nonzero((score >= least[:, None]) & np.isfinite(score))
                 found = score[q, v]
                 order = np.lexsort((ids[have[v]], -found, q))
                 q, v, found = q[order], v[order], found[order]
+                fresh = np.append(True, (q[1:] != q[:-1]) | (found[1:] != found[:-1]) | (ids[have[v[1:]]] != ids[have[v[:-1]]]))[: len(q)]
+                q, v, found = q[fresh], v[fresh], found[fresh]
                 first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
                 rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
                 keep = rank < k

@@ -101,6 +101,18 @@ def test_nearest_with_odd_vectors(spark):
     assert [v for _, v in ties] == [10, 801, 802, 803, 804]
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(12)]
+    again = rows + [rows[k] for k in range(8) for _ in range(5)] + [(k, (2 * np.array(v)).tolist()) for k, v in rows[:6]]  # one leaf
+    frame = spark.createDataFrame(again, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.nearest(frame, queries, k=5, block_rows=64).collect()
+    wanted = _brute(rows, {k for k, _ in rows}, 5)
+    for q, near in wanted.items():
+        assert [v for _, v in sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == q)] == [i for _, i in near]
+
+
 def test_nearest_with_few_and_no_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     found = vectors.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
