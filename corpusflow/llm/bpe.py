@@ -126,7 +126,7 @@ def _block_rows(targets: int):
 
 def _word_rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(path).encode_ordinary
+        encode = rank_encoder(path)._encode_single_piece  # a word is one match of the pattern already
         known: dict[str, list[int]] = {}
         for batch in batches:
             for _, number, _, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -211,7 +211,8 @@ def encode_documents(docs: DataFrame, ranks: str = BPE_RANKS, whole: bool = Fals
 
     The ids are those of the ranks over each match of the tokenizer pattern
     separately, without special tokens; ``ids`` and ``decoded`` are null unless
-    ``whole``.  Hashes are of the decimal ids joined by commas and of the bytes
+    ``whole``.  Texts are cut by :func:`tokens.pretoken_starts`, so runs of any length
+    (white space included) encode.  Hashes are of the decimal ids joined by commas and of the bytes
     that the ids decode to.  Null and empty texts have no tokens.  Repeated and
     null ``doc_id`` are no special case.  Other columns are ignored; an empty
     table gives no rows.

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local runs and tests) is one made and set.
+    Only where a local session names none (runs and tests on one machine) is one made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -41,6 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, key: str, number: str) -> DataFrame:
+    """``docs`` (written) with a number for each row in column ``number``, in the order of ``key`` (nulls last) and then of the text.
+
+    If ``key`` has no nulls or repeats it is the number itself and nothing is written.
+    """
+    spare = docs.select(F.col(key).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    if spare.where("k is null or n > 1").isEmpty():
+        return docs.withColumn(number, F.col(key).cast("long"))
+    order = [F.col(key).cast("long").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))]
+    parts = shuffle_partitions(docs.sparkSession)
+    return materialize(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote and that no later step reads."""
     spark = df.sparkSession

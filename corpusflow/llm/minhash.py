@@ -77,6 +77,10 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return kernels.mix((kernels.mix(cut) * factors).sum(axis=2, dtype=np.uint64) + salts)
 
 
+def _fingerprint(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signer(size: int, bands: int, rows: int, least: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(bands * rows)
@@ -94,7 +98,7 @@ def _signer(size: int, bands: int, rows: int, least: int):
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array(map(_fingerprint, sets), pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "fingerprint", "keys"],
@@ -108,7 +112,8 @@ def _set_rows(size: int):
         for batch in batches:
             for part in text_slices(batch):
                 sets = kernels.shingle_sets(*kernels.word_hashes(*flat_bytes(part.column(1))), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+                columns = [part.column(0), pa.array(map(_fingerprint, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "shingles"])
 
     return rows
 
@@ -133,58 +138,69 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``component_id`` is the smallest ``doc_id`` reachable, ``kept`` marks it.
 
     Null or wordless texts have an empty set and are linked with nothing.  Rows
-    that repeat a ``doc_id`` count as one node and all come back.  Rows without
+    that repeat a ``doc_id`` all come back and hang together: each of its texts is
+    linked by what it holds, and all of them have one component.  Rows without
     ``doc_id`` take no part: their component is null and they are kept.  Other
     columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = -(-percent // max(1, 100 - percent)) if percent < 100 else 1 << 62
     schema = "doc_id long, n_shingles long, fingerprint binary, keys array<long>"
-    signed = materialize(docs.mapInArrow(_signer(size, bands, rows, least), schema), "signed")
-    # Equal sets first: they are one node, named by their smallest doc_id.
-    sets = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "sets")
-    members = materialize(signed.select("doc_id", "n_shingles", "fingerprint").join(sets, "fingerprint", "left").drop("fingerprint"), "members")
-    nodes = signed.where("keys is not null").select(F.col("doc_id").alias("rep"), "fingerprint", "n_shingles")
-    nodes = materialize(nodes.join(sets, ["rep", "fingerprint"], "left_semi").drop("fingerprint").dropDuplicates(["rep"]), "nodes")
-    keyed = (
-        signed.where("keys is not null")
-        .select("doc_id", "keys")
-        .join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    )
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last")
-    buckets = materialize(
-        keyed.join(shared.drop("last"), "key").select("key", "m", "centre", "rep"), "buckets"
-    )
-    discard(signed)
-    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
-    level = F.when(F.col("rep") == F.col("centre"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(_WIDEN), F.greatest(chance, F.lit(1.0))))))
+    signed = materialize(docs.mapInArrow(_signer(size, bands, rows, least), schema).withColumn("row", F.monotonically_increasing_id()), "signed")
+    repeats = not signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    # Equal sets first: they are one node, in the order of its smallest doc_id.
+    sets = signed.where("doc_id is not null and n_shingles > 0").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    sets = sets.select("fingerprint", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"))
+    if repeats:  # a doc_id may be the first of several sets, so it cannot name them
+        sets = sets.repartitionByRange("rep", "row").sortWithinPartitions("rep", "row").withColumn("node", F.monotonically_increasing_id())
+    else:
+        sets = sets.withColumn("node", F.col("rep"))
+    sets = materialize(sets, "sets")
+    members = materialize(signed.select("doc_id", "n_shingles", "fingerprint").join(sets.select("fingerprint", "node"), "fingerprint", "left").drop("fingerprint"), "members")
+    signs = signed.where("keys is not null").select("row", "n_shingles", "keys").join(sets.select("row", "node"), "row")
+    keyed = signs.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
+    buckets = materialize(keyed.join(shared.drop("last"), "key").select("key", "m", "centre", "node"), "buckets")
+    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
+    level = F.when(F.col("node") == F.col("centre"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(_WIDEN), F.greatest(chance, F.lit(1.0))))))
     buckets = buckets.withColumn("level", level.cast("int"))
-    chosen = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(chosen.mapInArrow(_set_rows(size), "rep long, shingles array<long>"), "shingles")
-    looked_at = materialize(nodes.join(sets, "rep"), "looked-at")
-    stars = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = stars.join(nodes.alias("a"), F.col("u") == F.col("a.rep")).join(nodes.alias("b"), F.col("v") == F.col("b.rep"))
+    nodes = sets.join(buckets.select("node").distinct(), "node", "left_semi")
+    nodes = materialize(nodes.join(signed.select("row", "n_shingles"), "row").select("node", "rep", "fingerprint", "n_shingles"), "nodes")
+    discard(signed)
+    texts = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows(size), "doc_id long, fingerprint binary, shingles array<long>")
+    if repeats:
+        texts = texts.join(nodes.select(F.col("rep").alias("doc_id"), "fingerprint", "node"), ["doc_id", "fingerprint"]).select("node", "shingles").dropDuplicates(["node"])
+    else:
+        texts = texts.select(F.col("doc_id").alias("node"), "shingles")
+    looked_at = materialize(texts.join(nodes.select("node", "n_shingles"), "node"), "looked-at")
+    sizes = nodes.select("node", "n_shingles")
+    stars = buckets.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    stars = stars.join(sizes.alias("a"), F.col("u") == F.col("a.node")).join(sizes.alias("b"), F.col("v") == F.col("b.node"))
     stars = materialize(stars.where(_alike("a", "b", percent)).select("u", "v"), "stars")
-    stars = stars.join(sets.alias("a"), F.col("u") == F.col("a.rep")).join(sets.alias("b"), F.col("v") == F.col("b.rep"))
-    repeated = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
-    links = materialize(stars.where(_linked("a", "b", percent)).select("u", "v").unionByName(repeated), "links")
+    stars = stars.join(looked_at.alias("a"), F.col("u") == F.col("a.node")).join(looked_at.alias("b"), F.col("v") == F.col("b.node"))
+    links = stars.where(_linked("a", "b", percent)).select("u", "v")
+    if repeats:
+        several = members.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").drop("last")
+        links = links.unionByName(members.where("node is not null").join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v"))
+    links = materialize(links, "links")
     deepest = buckets.agg(F.max("level")).first()[0] or 0
     found = connected_components(links)
     for depth in range(1, deepest + 1):
-        placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("last"))
         mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("last") >= depth)).select("key")
-        open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(looked_at, "rep"), "open")
+        open_ = materialize(placed.where(F.col("level") >= depth).join(mixed, "key", "left_semi").join(looked_at, "node"), "open")
         a, b = open_.where(F.col("level") == depth).alias("a"), open_.alias("b")
-        later = (F.col("b.level") > F.col("a.level")) | (F.col("b.rep") > F.col("a.rep"))
+        later = (F.col("b.level") > F.col("a.level")) | (F.col("b.node") > F.col("a.node"))
         near = later & _alike("a", "b", percent) & _linked("a", "b", percent)
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & near)
-        more = materialize(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "links")
+        more = materialize(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "links")
         discard(open_)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = connected_components(links)
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if repeats:
+        placed = placed.join(sets.select(F.col("node").alias("component"), "rep"), "component", "left").withColumn("component", F.col("rep"))
+    component = F.coalesce("component", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
-from .tokens import BPE_JSON, json_encoder
+from .tokens import BPE_JSON, json_ids
 
 SHARD_PIECES = 200_000
 
@@ -98,12 +98,11 @@ def pack(sizes: list[int], room: int) -> tuple[list[int], list[int]]:
 
 def _piece_rows(path: str, room: int, end_id: int, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = json_encoder(path)
         for batch in batches:
             for part in text_slices(batch):
                 out: list[tuple] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                    ids = np.append(json_ids(text or "", path), end_id).astype("<u4")
                     start, stop, piece = 0, len(ids) % room or min(room, len(ids)), 0
                     while start < len(ids):
                         data = ids[start:stop].tobytes()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -15,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from . import kernels
 
@@ -46,6 +48,23 @@ def json_encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Longest run of white space that tiktoken's pattern engine is given; it runs out of stack on some hundred thousand.
+SPACE_RUN = 10_000
+_LONG_SPACE = re.compile(r"\s{64,}")
+
+
+@lru_cache(maxsize=2)
+def json_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def json_ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text by a ``tokenizers`` file, from tiktoken where it can and else from that library itself; they are the same."""
+    if any(len(run) > SPACE_RUN for run in _LONG_SPACE.findall(text)):
+        return np.array(json_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    return json_encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
 @lru_cache(maxsize=2)
 def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}

@@ -9,28 +9,28 @@ def low(text):
 
 
 def near_components(rows, size, percent=80):
-    """``(doc_id, n_shingles, component_id, kept)`` for rows with an id; rows with one id and text are one document."""
-    sets = {}
+    """``(doc_id, n_shingles, component_id, kept)`` of each row with an id; rows of one id with words hang together."""
+    nodes = []
     for doc, text in rows:
         words = re.findall("[^\x20\x09-\x0d]+", low(text))
         grams = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
         if doc is not None:
-            sets[doc] = grams
-    parent = {d: d for d in sets}
+            nodes.append((doc, grams))
+    parent = {d: d for d, _ in nodes}
 
     def root(d):
         while parent[d] != d:
             d = parent[d]
         return d
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return [(d, len(sets[d]), root(d), root(d) == d) for d, _ in rows if d is not None]
+    for n, (a, x) in enumerate(nodes):
+        for b, y in nodes[n + 1 :]:
+            both = len(x & y)
+            if both and 100 * both >= percent * len(x | y):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    told = [(d, len(grams), root(d) if grams else d) for d, grams in nodes]
+    return [(d, n, c, d == c) for d, n, c in told]
 
 
 def removed_bytes(rows, length):

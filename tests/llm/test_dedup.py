@@ -54,6 +54,18 @@ def test_near_duplicates_of_short_documents_that_share_a_band(spark):
     assert len(banded) > 3000 and all(found[d] == found[d + 1] == d for d in banded)
 
 
+def test_near_duplicates_of_other_texts_under_one_id(spark):
+    """A chain through ids that hold several texts: no link is lost, in whatever order rows come."""
+    base = {name: [f"{name}{k}" for k in range(40)] for name in "abcd"}
+    near = {name: " ".join([*words[:39], "z"]) for name, words in base.items()}
+    text = {name: " ".join(words) for name, words in base.items()}
+    rows = [(1, near["a"]), (2, near["b"]), (5, text["a"]), (5, text["b"]), (5, text["c"]), (9, near["c"]), (9, text["d"]), (12, near["d"]), (13, "alone here"), (5, None), (9, text["d"]), (1 << 62, text["d"])]
+    rows += [((1 << 63) - 1, "far"), ((1 << 63) - 1, "away"), (-(1 << 63), "away")]
+    for order in (rows, rows[::-1]):
+        found = near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), size=4)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(near_components(rows, 4))
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).collect() == []
 

@@ -1,6 +1,7 @@
 """URLs, chat, nearest neighbours, the pipeline."""
 
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -143,6 +144,22 @@ def test_pipeline_stages_on_empty_and_clashing_tables(spark, odd, empty):
         assert stage(spark, odd, "").columns == odd.columns, name
 
 
+def test_pipeline_stages_neither_lose_nor_multiply_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string"
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    rows = [(1, one), (1, two), (2, three), (2, three), (3, one), (None, two), (None, " ".join(f"d{k}" for k in range(60))), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "k") for i, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted((r["doc_id"] or 99, r["text"] or "") for r in stages["near_dedup"](spark, docs, "").collect())
+    assert kept == sorted([(1, one), (1, two), (2, three), (99, rows[6][1]), (4, ""), (4, "")])
+    for name in ("suffix_dedup", "secret_scan"):
+        assert stages[name](spark, docs, "").count() == len(rows), name
+    cut = Counter(r["doc_id"] for r in stages["suffix_dedup"](spark, docs, "").where("length(text) < 10").collect())
+    assert cut == {4: 2, 2: 1, 3: 1, None: 1}  # later copies lose all, first ones stay whole
+    assert stages["quality_rules"](spark, docs, "").count() == 7
+    assert stages["packing"](spark, docs, "").count() == len(rows)
+
+
 def test_registered_queries():
     assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k != "pipeline"} == {str(k) for k in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)

@@ -212,6 +212,25 @@ def test_bpe_matches_tiktoken_and_round_trips(odd, odd_rows):
     assert all(encoder.decode_bytes(r["ids"]) == r["decoded"] for r in found)
 
 
+def test_long_runs_encode(spark):
+    space = " " * 2_000_000
+    texts = [space + "x", "\n" * 300_000 + "  a", "b" * 500_000, "'" * 200_000 + "s" + space, "<|endoftext|>" + space + "<|endoftext|>y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(BPE_JSON)
+    packed = defaultdict(dict)
+    for r in pack_documents(docs, with_ids=True).collect():
+        packed[r["doc_id"]][r["piece"]] = np.frombuffer(r["ids"], "<u4")
+    for k, text in enumerate(texts):
+        own = np.concatenate([packed[k][n] for n in range(len(packed[k]))])
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    encoder = rank_encoder(BPE_RANKS)
+    for r in encode_documents(docs, whole=True).collect():
+        text = texts[r["doc_id"]]
+        assert bytes(r["decoded"]).decode() == text and r["n_tokens"] == len(r["ids"]) and encoder.decode_bytes(r["ids"]).decode() == text
+    ids = {r["doc_id"]: r["ids"] for r in encode_documents(docs, whole=True).collect()}
+    assert ids[0] == encoder._encode_single_piece(" " * 1_999_999) + encoder._encode_single_piece(" x") and ids[2] == encoder.encode_ordinary(texts[2])
+
+
 def test_pretokens_match_the_pattern():
     rng = random.Random(6)
     encoder = rank_encoder(BPE_RANKS)
