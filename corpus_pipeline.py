@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, table
+from corpusflow.llm.common import materialize, numbered, table
 from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import judge
@@ -24,34 +24,40 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie beyond their group's robust distance go."""
+    """Rows that fail the base rules or lie beyond their group's robust distance go; each row is judged by itself."""
     return judge(docs).where("_q_kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, the smallest ``doc_id`` stays, once; rows without an id stay."""
-    found = materialize(near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("kept and doc_id is not null").select("doc_id"), "kept")
-    kept = docs.join(found.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of documents linked by five-word shingles at 0.8 one row stays: that of the smallest ``doc_id``.
+
+    Every row is a document of its own: rows that repeat a ``doc_id``, or have
+    none, are compared by their texts like all others (ids first, in order, then
+    the rows without).  Documents without words stay.
+    """
+    rows = numbered(docs, "doc_id", "_row")
+    kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 100-byte strings go from the texts; a character that a cut splits goes too."""
-    cut = cut_repeats(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.drop("text").join(cut, "doc_id")
-    whole = docs.where("doc_id is null")
-    return _counted(rest.select(*docs.columns).unionByName(whole))
+    """Bytes of repeated 100-byte strings go from the texts; a character that a cut splits goes too.
+
+    Every row is a document of its own and comes back, in whatever order rows
+    repeat a ``doc_id`` or have none (these come last).  A null text becomes empty.
+    """
+    rows = numbered(docs, "doc_id", "_row")
+    cut = cut_repeats(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("text"))
+    return _counted(rows.drop("text").join(cut, "_row").select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span is replaced by its kind in brackets."""
+    """Every reported span is replaced by its kind in brackets; every row comes back, null texts as they are."""
     return _counted(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    """Pieces of the documents and their places in sequences of 2048 tokens; null texts are the end id alone."""
     return pack_documents(docs.select("doc_id", "text")).drop("ids")
 
 
