@@ -15,7 +15,7 @@ from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets
 from .substrings import cut_repeats
-from .urls import host_of, judge_urls
+from .urls import judge_urls
 from .vectors import nearest
 
 
@@ -47,14 +47,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
-#: Host labels whose pages make up the listing of the query.
+#: The listing of the query, told by rule and apart from ``pages``: on each host that these parts make, every other number from 1000 on of two languages.
 LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_PREFIXES, LISTED_TOPS, LISTED_PATHS = ["", "m."], ["com", "net", "org"], ["en", "de"]
+LISTED_NUMBERS = (1000, 10_000, 2)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.sql(f"select * from values {_RULES_SQL} as rules(rule_host, rule_path, verdict)")
-    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
+    listed = spark.range(*LISTED_NUMBERS).withColumn("path", F.explode(F.array(*map(F.lit, LISTED_PATHS))))
+    hosts = [f"https://{prefix}{label}.example.{top}/" for prefix in LISTED_PREFIXES for label in LISTED_LABELS for top in LISTED_TOPS]
+    listed = listed.withColumn("host", F.explode(F.array(*map(F.lit, hosts)))).select(F.concat("host", "path", F.lit("/"), "id").alias("url"))
     return judge_urls(pages, rules, listed)
 
 
@@ -124,10 +128,11 @@ ORACLE_SQL: dict[str, str] = {
                    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
             from pages),
-        keyed as (
-            select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html|/+)$', '') as key,
-                   regexp_matches(host, '(^|\.)({"|".join(LISTED_LABELS)})\.') as listed
-            from parsed),
+        keyed as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html|/+)$', '') as key from parsed),
+        listed as (
+            select prefix || label || '.example.' || top || '/' || lang || '/' || n as key
+            from unnest({LISTED_PREFIXES}) as a(prefix), unnest({LISTED_LABELS}) as b(label), unnest({LISTED_TOPS}) as c(top), unnest({LISTED_PATHS}) as d(lang),
+                 range({LISTED_NUMBERS[0]}, {LISTED_NUMBERS[1]}, {LISTED_NUMBERS[2]}) as e(n)),
         rules(rule_host, rule_path, v) as (values {_RULES_SQL}),
         named as (select distinct host, path from parsed where host <> ''),
         ranked as (
@@ -136,7 +141,7 @@ ORACLE_SQL: dict[str, str] = {
             from named join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
         best as (select host, path, rule, v from ranked where r = 1)
         select page_id, host, path, rule,
-               coalesce(v, case when host <> '' and key in (select key from keyed where listed and key <> '') then 'block' else 'allow' end) as verdict
+               coalesce(v, case when host <> '' and key in (select key from listed) then 'block' else 'allow' end) as verdict
         from keyed left join best using (host, path)
     """,
 }

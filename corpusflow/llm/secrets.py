@@ -4,12 +4,13 @@ The automaton is inferred from labelled credentials (those that the fixed
 patterns find, a bounded sample by hash): their prefix tree over character
 classes, in which states whose futures are statistically alike are merged (the
 frequencies of ending and of each symbol differ by less than a Hoeffding bound,
-recursively).  Every other token that could be a credential is scored by its
-likelihood per symbol.
+recursively).  Every token that could be a credential, whether a fixed pattern
+holds it or not, is scored by its likelihood per symbol; what score is enough, credentials held out of a fit say.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,15 +28,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the automaton looks at: long runs of credential characters with a digit, each as a whole.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the automaton looks at: long runs of credential characters, each as a whole, without dots around it.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
+LEAST_LENGTH = 16
 
 #: Credentials that the automaton is fitted on at most.
 SAMPLE = 4000
-#: Confidence of the merge test, and symbols of a credential that the automaton is fitted on.
-ALPHA, DEPTH = 0.05, 48
-#: Least mean log-likelihood per symbol of a reported token.
-LEAST = -2.2
+#: Confidence of the merge test, and symbols of a credential that the sample holds (the fit is bounded, the scoring is not).
+ALPHA, DEPTH = 0.05, 128
+#: Least mean log-likelihood per symbol of a reported token; held-out credentials raise it to what all but ``MISSED`` of them reach.
+LEAST, MISSED, SLACK = -2.2, 0.005, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -76,7 +78,8 @@ class Automaton:
                     self.visits.append(0)
                 at = self.next[at][c]
             self.visits[at] += 1
-            self.ends[at] += 1
+            if len(word) < DEPTH:  # what the sample cut short has no known end
+                self.ends[at] += 1
         self._merge_states()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -145,20 +148,41 @@ class Automaton:
 
 
 def labelled_credentials(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most ``most`` distinct credentials of the fixed patterns, the smallest by hash."""
+    """Symbols of at most ``most`` distinct credentials of the fixed patterns, the smallest by hash; at most ``most * DEPTH`` bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = []
+                found = {}
                 for text in part.column(0).to_pylist():
                     for start, end, kind in base_spans(text or ""):
                         value = text[start:end]
-                        found.append(_ASSIGN.match(value)[2] if kind == "assign" else value)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
+                        value = _ASSIGN.match(value)[2] if kind == "assign" else value
+                        found[hashlib.sha256(value.encode()).digest()] = symbols(value[:DEPTH])
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.string())], names=["mark", "symbols"])
 
-    found = docs.select("text").mapInArrow(rows, "value string").distinct()
-    return [r[0] for r in found.orderBy(F.sha2("value", 256)).limit(most).collect()]
+    found = docs.select("text").mapInArrow(rows, "mark binary, symbols string").groupBy("mark").agg(F.first("symbols").alias("symbols"))
+    return [r["symbols"] for r in found.orderBy("mark").limit(most).collect()]
+
+
+def calibrated(words: list[str], least: float = LEAST) -> float:
+    """The score that held-out credentials reach: every second word fits an automaton, the others are scored by it."""
+    if len(words) < 8:
+        return least
+    model = Automaton(sorted(words[::2]))
+    held = sorted(map(model.likelihood, words[1::2]))
+    return max(least, held[int(MISSED * len(held))] - SLACK)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the tokens that are scored: with a digit and a letter, at least ``LEAST_LENGTH`` long without dots at their ends."""
+    for m in _CANDIDATE.finditer(text):
+        token = m[0]
+        start = m.start() + len(token) - len(token.lstrip("."))
+        end = m.end() - len(token) + len(token.rstrip("."))
+        token = text[start:end]
+        if len(token) >= LEAST_LENGTH and any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token):
+            yield start, end
 
 
 _RESULT = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
@@ -166,18 +190,14 @@ _RESULT = StructType([StructField("start", IntegerType()), StructField("end", In
 
 def _finder(docs: DataFrame, sample: int, least: float):
     """A function from a text to its base and added spans; the automaton is fitted on credentials of ``docs``."""
-    words = [w for w in (symbols(c[:DEPTH]) for c in labelled_credentials(docs, sample)) if len(w) >= 12]
+    words = [w for w in labelled_credentials(docs, sample) if len(w) >= 12]
     model = Automaton(sorted(words)) if words else None
+    least = calibrated(words, least)
 
     def spans(text: str | None) -> tuple[list, list]:
-        base = base_spans(text or "")
-        added = []
-        for m in _CANDIDATE.finditer(text or "") if model else ():
-            token = m[0]
-            if any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and b > m.start() for a, b, _ in base):
-                if model.likelihood(symbols(token)) >= least:
-                    added.append((m.start(), m.end(), "format"))
-        return base, added
+        text = text or ""
+        added = [(a, b, "format") for a, b in candidates(text) if model.likelihood(symbols(text[a:b])) >= least] if model else []
+        return base_spans(text), added
 
     return spans
 
@@ -186,8 +206,8 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST, pr
     """``docs`` with ``_s_base`` and ``_s_added``: arrays of ``(start, end, kind)`` in code points, in order.
 
     ``_s_base`` holds the fixed patterns' spans, ``_s_added`` tokens with a digit
-    and a letter, outside those, that the automaton finds likely over all their
-    symbols; a token is a whole run, however long.  Null texts
+    and a letter that the automaton finds likely over all their symbols, within
+    those or not; a token is a whole run, however long.  Null texts
     count as empty.  Repeated rows and null ids are no special case; all rows
     come back with all columns.
     """

@@ -1,10 +1,9 @@
 """URL rules and lists: a blocked Bloom filter before an exact hash join.
 
-All steps are DataFrame expressions.  The filter has a fixed number of 64-bit
-blocks; a key sets four bits of one block, so a probe reads one word.  Its size
-is a parameter and does not grow with the list (a longer list lets more false
-positives through, which the exact join removes), so the table of blocks may be
-broadcast at any scale.
+All steps are DataFrame expressions.  The filter has 64-bit blocks; a key sets
+four bits of one block, so a probe reads one word.  Blocks are as many as the
+list needs for twelve bits a key.  A filter of up to ``BROADCAST_BLOCKS`` blocks is
+broadcast, a larger one is joined by block.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: 2**14 blocks of 64 bits: 128 KiB of bits whatever the list.
-BLOCKS = 1 << 14
-BITS = 4
+#: Bits that a key sets, and bits of the filter for each key.
+BITS, BITS_A_KEY = 4, 12
+#: Blocks of the smallest filter, and of the largest that is broadcast (a row of a number and a word each).
+LEAST_BLOCKS, BROADCAST_BLOCKS = 1 << 10, 1 << 18
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,7 +35,7 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Scheme, query, fragment, ``www.`` and slashes or ``.html`` at the end do not tell pages apart."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html|/+)$", ""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html|/+)\z", ""))
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -49,20 +49,26 @@ def _mask(key: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def bloom_filter(keys: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(keys: int) -> int:
+    """Blocks of a filter for so many keys: a power of two."""
+    return max(LEAST_BLOCKS, 1 << (-(-keys * BITS_A_KEY // 64) - 1).bit_length()) if keys else LEAST_BLOCKS
+
+
+def bloom_filter(keys: DataFrame, column: str, blocks: int) -> DataFrame:
     """``(block, word)`` of the non-null keys: at most ``blocks`` rows, combined before the shuffle."""
     return keys.where(F.col(column).isNotNull()).groupBy(_block(F.col(column), blocks).alias("block")).agg(F.bit_or(_mask(F.col(column))).alias("word"))
 
 
-def possible(rows: DataFrame, column: str, bloom: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def possible(rows: DataFrame, column: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """The rows whose key the filter may hold; no listed key is lost."""
-    word = F.broadcast(bloom.withColumnRenamed("block", "_block").withColumnRenamed("word", "_word"))
+    word = bloom.withColumnRenamed("block", "_block").withColumnRenamed("word", "_word")
+    word = F.broadcast(word) if blocks <= BROADCAST_BLOCKS else word
     hit = rows.withColumn("_block", _block(F.col(column), blocks)).join(word, "_block")
     mask = _mask(F.col(column))
     return hit.where(F.col("_word").bitwiseAND(mask) == mask).drop("_block", "_word")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url)``.
 
     ``rules(rule_host, rule_path, verdict)``: a rule fits its host and all
@@ -82,8 +88,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
     known = rules.where("rule_host is not null and verdict is not null").select(
         F.translate("rule_host", _UPPER, _LOWER).alias("suffix"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
     )
+    n_rules = blocks_for(known.count())
     # Rules by host: names are distinct, so a common host or suffix is few rows.
-    fitting = possible(suffixes, "suffix", bloom_filter(known, "suffix", blocks), blocks).join(known, "suffix")
+    fitting = possible(suffixes, "suffix", bloom_filter(known, "suffix", n_rules), n_rules).join(known, "suffix")
     fitting = fitting.groupBy("host").agg(F.collect_set(F.struct("suffix", "rule_path", "rule_verdict")).alias("rules"))
     urls = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_n"))
     urls = urls.join(fitting, "host", "left")
@@ -93,6 +100,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
     )
     urls = urls.withColumn("best", F.array_min(ranked)).withColumn("key", canonical(F.col("host"), F.col("path")))
     keys = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key")).where("key <> ''").distinct()
+    keys = materialize(keys, "listed")
+    blocks = blocks_for(keys.count())
     hits = possible(urls.where("host <> '' and best is null").select("key").distinct(), "key", bloom_filter(keys, "key", blocks), blocks).join(keys, "key", "left_semi")
     urls = urls.join(hits.withColumn("hit", F.lit(True)), "key", "left")
     verdict = F.coalesce("best.v", F.when(F.col("hit"), "block").otherwise("allow"))

@@ -3,12 +3,15 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from corpusflow.llm import chat, urls, vectors
-from corpusflow.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
+from corpusflow.llm.queries import LISTED_LABELS, ORACLE_SQL, QUERIES, URL_RULES
 
+DATA = "/root/testdata/sf0.001"
 RULES = "rule_host string, rule_path string, verdict string"
 
 
@@ -160,6 +163,25 @@ def test_pipeline_stages_neither_lose_nor_multiply_rows(spark):
     assert stages["packing"](spark, docs, "").count() == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    frame = QUERIES[name](spark, DATA)
+    told = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in told.description]
+    assert sorted(columns) == sorted(frame.columns)
+    rows = [tuple(r[columns.index(c)] for c in frame.columns) for r in told.fetchall()]
+    assert Counter(rows) == Counter(map(tuple, frame.collect())) and rows
+
+
+def test_urls_of_the_query_depend_on_the_list(spark):
+    """On one host some pages are listed and some are not."""
+    told = [r for r in QUERIES["op7_urls"](spark, "/root/testdata/sf0.1").collect() if r["rule"] is None and any(label in r["host"] for label in LISTED_LABELS)]
+    assert {r["verdict"] for r in told} == {"allow", "block"}
+
+
 def test_registered_queries():
     assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k != "pipeline"} == {str(k) for k in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)

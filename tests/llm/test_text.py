@@ -4,20 +4,26 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from brute import low
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusflow.llm import licenses, secrets
 from corpusflow.llm.bpe import encode_documents, freeze, thaw
 from corpusflow.llm.packing import best_fit, pack, pack_documents, sum_of_squares
+from corpusflow.llm.queries import QUERIES
 from corpusflow.llm.quality import COUNTS, chi2_quantile, judge
 from corpusflow.llm.tokens import BPE_JSON, BPE_RANKS, distinct_words, json_encoder, rank_encoder, read_word
 
+DATA, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 
 def test_licenses_match_brute_force(odd, odd_rows):
     found = licenses.scan_licenses(odd).collect()
@@ -320,7 +326,7 @@ def test_long_secrets_are_whole_and_read_to_their_end(spark):
     rows = [(k, f"token={key(rng.randint(40, 90))} end") for k in range(400)]
     long, longer = key(210), key(1500)
     start = key(48)
-    rows += [(1000, f"see {long} there"), (1001, f"see {longer} there"), (1002, start), (1003, start + "_-=" * 100)]
+    rows += [(1000, f"see {long} there"), (1001, f"see {longer} there"), (1002, start), (1003, start + "_-" * 150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["_s_added"]] for r in secrets.find_secrets(docs).collect()}
     assert spans[1000] == [(4, 214, "format")] and spans[1001] == [(4, 1504, "format")]
@@ -329,5 +335,94 @@ def test_long_secrets_are_whole_and_read_to_their_end(spark):
     assert texts[1000] == texts[1001] == "see [format] there"
 
 
+def _base_by_hand(text):
+    """The fixed patterns read character by character, apart from ``re``."""
+    found = []
+    value, capitals = set(string.ascii_letters + string.digits + "+/_.=-"), set(string.ascii_uppercase + string.digits)
+    n = len(text)
+
+    def run(at, chars):
+        end = at
+        while end < n and text[end] in chars:
+            end += 1
+        return end
+
+    def assignment(at):
+        rest = "".join(c.lower() if c.isascii() else c for c in text[at : at + 8])
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not rest.startswith(word):
+                continue
+            k = at + len(word)
+            k += text[k : k + 1] in ("'", '"') and len(text[k : k + 1])
+            k = run(k, " ")
+            if text[k : k + 1] not in (":", "="):
+                continue
+            k = run(k + 1, " ")
+            k += text[k : k + 1] in ("'", '"') and len(text[k : k + 1])
+            if run(k, value) > k:
+                return k, run(k, value)
+        return None
+
+    at = 0
+    while at < n:
+        hit = assignment(at)
+        if hit and hit[1] - hit[0] >= 12:
+            found.append((at, hit[1], "assign"))
+        at = hit[1] if hit else at + 1
+    for kind, chars, head, least in (("access", capitals, "AKIA", 18), ("hex", set("0123456789abcdef"), "", 16)):
+        at = 0
+        while at < n:
+            end = run(at + len(head), chars) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    found.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "SECRET", "token", "Api_Key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "deadbeefcafe", "x.y", "-", "é", "\n", "ſ", "K"]), max_size=14).map("".join))
+def test_secrets_base_matches_a_reading_by_hand(text):
+    assert secrets.base_spans(text) == _base_by_hand(text)
+
+
+def test_secrets_query_by_hand(spark):
+    """Every contract column of the query on a whole table, and spans of the method."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()]
+    found = {r["doc_id"]: r for r in QUERIES["op8_secrets"](spark, MORE).collect()}
+    assert len(found) == len(rows)
+    words = [w for w in secrets.labelled_credentials(spark.read.parquet(f"{MORE}/documents.parquet")) if len(w) >= 12]
+    model, least = secrets.Automaton(sorted(words)), secrets.calibrated(words)
+    added = 0
+    for doc, text in rows:
+        base = _base_by_hand(text or "")
+        told = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        r = found[doc]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for *_, k in base) for kind in secrets.KINDS[:3])
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        own = {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_.=-])", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert [s for s in spans if s[0] != "format"] == [tuple(map(str, (k, a, b))) for a, b, k in base]
+        formats = {(int(a), int(b)) for k, a, b in spans if k == "format"}
+        likely = {s for s in own if model.likelihood(secrets.symbols(text[s[0] : s[1]])) >= least}
+        assert likely <= formats
+        added += len(formats)
+    assert added > 0
+
+
+def test_secrets_beyond_the_fixed_patterns(spark):
+    """Formats learned from assigned values are found where no pattern points to them, dots included."""
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows = [(k, f"secret: {part(20)}.{part(30)}.{part(20)} and") for k in range(300)]
+    rows += [(1000 + k, f"bearer {part(20)}.{part(30)}.{part(20)}.") for k in range(20)]
+    rows += [(2000, "see the report at www.example.com/2024/annual-report-of-the-committee.html")]
+    found = {r["doc_id"]: [tuple(s) for s in r["_s_added"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[1000 + k] == [(7, 79, "format")] for k in range(20)) >= 19
+    assert found[2000] == []
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.find_secrets(empty).collect() == []
