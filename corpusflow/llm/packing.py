@@ -11,7 +11,6 @@ again, largest first, and the better of the two packings stays.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,8 @@ from .common import materialize, text_slices
 from .tokens import BPE_JSON, json_ids
 
 SHARD_PIECES = 200_000
+#: Times that open bins are dissolved, and shares of the pieces that come last in turn (0: all come largest first).
+ROUNDS, LAST_SHARES = 40, (0.0, 0.1, 0.3)
 
 
 def sum_of_squares(sizes: list[int], room: int) -> list[int]:
@@ -57,42 +58,41 @@ def sum_of_squares(sizes: list[int], room: int) -> list[int]:
     return out
 
 
-def best_fit(sizes: list[int], room: int) -> list[int]:
-    """A bin number for each size, the largest placed first, each where the least room is left."""
-    out = [0] * len(sizes)
-    gaps: list[tuple[int, int]] = []
-    made = 0
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        at = bisect_left(gaps, (sizes[k], -1))
-        if at < len(gaps):
-            gap, chosen = gaps.pop(at)
-        else:
-            gap, chosen, made = room, made, made + 1
-        if gap > sizes[k]:
-            insort(gaps, (gap - sizes[k], chosen))
-        out[k] = chosen
-    return out
+def _arrival(sizes: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """Places of ``sizes`` in an order of arrival: any, but the smallest ``share`` last in decreasing order (0: all in it)."""
+    falling = np.argsort(-sizes, kind="stable")
+    last = int(len(sizes) * share)
+    return np.concatenate([rng.permutation(falling[: len(falling) - last]), falling[len(falling) - last :]]) if share else falling
 
 
-def pack(sizes: list[int], room: int) -> tuple[list[int], list[int]]:
+def _placed(sizes: np.ndarray, room: int, share: float, rng: np.random.Generator) -> np.ndarray:
+    order = _arrival(sizes, share, rng)
+    chosen = np.empty(len(sizes), np.int64)
+    chosen[order] = sum_of_squares(sizes[order].tolist(), room)
+    return chosen
+
+
+def pack(sizes: list[int], room: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Bin and place in it for each size."""
-    chosen = sum_of_squares(sizes, room)
-    level = [0] * (max(chosen, default=-1) + 1)
-    for size, k in zip(sizes, chosen, strict=True):
-        level[k] += size
-    loose = [i for i, k in enumerate(chosen) if level[k] < room]
-    if loose:
-        old = {k: n for n, k in enumerate(sorted({chosen[i] for i in loose}))}
-        again = best_fit([sizes[i] for i in loose], room)
-        if max(again) + 1 < len(old):
-            base = len(level)
-            for i, k in zip(loose, again, strict=True):
-                chosen[i] = base + k
-    level = {}
-    places = []
-    for size, k in zip(sizes, chosen, strict=True):
-        places.append(level.get(k, 0))
-        level[k] = places[-1] + size
+    sizes, rng = np.array(sizes, np.int64), np.random.default_rng(5)
+    chosen = _placed(sizes, room, LAST_SHARES[1], rng)
+    for turn in range(rounds):
+        level = np.bincount(chosen, weights=sizes)
+        open_, full = np.flatnonzero(level < room), np.flatnonzero(level == room)
+        if len(open_) <= 1:
+            break
+        taken = np.append(open_, rng.choice(full, min(len(full), len(open_) * int(rng.integers(1, 6))), replace=False))
+        at = np.flatnonzero(np.isin(chosen, taken))
+        again = _placed(sizes[at], room, LAST_SHARES[turn % len(LAST_SHARES)], rng)
+        if again.max() + 1 <= len(taken):
+            chosen[at] = len(level) + again
+            chosen = np.unique(chosen, return_inverse=True)[1]
+    order = np.argsort(chosen, kind="stable")
+    ends = np.cumsum(sizes[order])
+    begins = ends - sizes[order]
+    first = np.flatnonzero(np.append(True, chosen[order][1:] != chosen[order][:-1]))[: len(order)]
+    places = np.empty(len(sizes), np.int64)
+    places[order] = begins - np.repeat(begins[first], np.diff(np.append(first, len(order))))
     return chosen, places
 
 
@@ -128,18 +128,22 @@ def pack_documents(docs: DataFrame, room: int = 2048, tokenizer: str = BPE_JSON,
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _piece_rows(tokenizer, room, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
     )
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
+    carried = [c for c in pieces.columns if c != "ids"]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "doc_id", "piece", "ids_crc32"], kind="stable")
+        group = group.sort_values("row")
         chosen, places = pack(group["length"].tolist(), room)
-        group["sequence_id"] = np.array(chosen, np.int64) + (group["shard"].to_numpy(np.int64) << 32)
+        group["sequence_id"] = chosen + (group["shard"].to_numpy(np.int64) << 32)
         group["offset"] = places
-        return group[columns]
-
-    columns = [*pieces.columns, "sequence_id", "offset"]
-    dealt = pieces.withColumn("order", order).withColumn("shard", F.pmod("order", F.lit(shards)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(place, schema)
+        return group[[*carried, "sequence_id", "offset"]]
+
+    dealt = pieces.select(*carried, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long"
+    placed = dealt.groupBy("shard").applyInPandas(place, schema)
+    if with_ids:  # these are large and take no part in the packing
+        placed = placed.join(pieces.select("row", "ids"), "row")
+    else:
+        placed = placed.withColumn("ids", F.lit(None).cast("binary"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from corpusflow.llm import licenses, secrets
 from corpusflow.llm.bpe import encode_documents, freeze, thaw
-from corpusflow.llm.packing import best_fit, pack, pack_documents, sum_of_squares
+from corpusflow.llm.packing import pack, pack_documents, sum_of_squares
 from corpusflow.llm.queries import QUERIES
 from corpusflow.llm.quality import COUNTS, chi2_quantile, judge
 from corpusflow.llm.tokens import BPE_JSON, BPE_RANKS, distinct_words, json_encoder, rank_encoder, read_word
@@ -141,7 +141,7 @@ def test_licenses_run_no_python(odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("packer", [sum_of_squares, best_fit])
+@pytest.mark.parametrize("packer", [sum_of_squares, lambda sizes, room: pack(sizes, room)[0]])
 def test_packers_never_overfill(packer):
     rng = random.Random(3)
     sizes = [rng.randint(1, 64) for _ in range(500)]
@@ -174,8 +174,13 @@ def test_sum_of_squares_by_definition():
 def test_pack_is_close_to_the_bound():
     rng = random.Random(5)
     sizes = [min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000)]
-    chosen, _ = pack(sizes, 2048)
-    assert len(set(chosen)) <= 1.005 * -(-sum(sizes) // 2048) + 1
+    chosen, places = pack(sizes, 2048)
+    assert len(set(chosen)) <= 1.001 * -(-sum(sizes) // 2048) + 1
+    at = defaultdict(int)
+    for k in np.argsort(places, kind="stable"):
+        assert places[k] == at[chosen[k]]
+        at[chosen[k]] += sizes[k]
+    assert pack([], 2048)[0].tolist() == [] and pack([2048, 1, 2047], 2048)[1].tolist() in ([0, 0, 1], [0, 2047, 0])
 
 
 def test_packing_places_all_tokens(odd, odd_rows):
@@ -200,6 +205,27 @@ def test_packing_places_all_tokens(odd, odd_rows):
             assert all(len(p[2]) == 2048 for p in pieces[1:])
 
 
+def test_packing_query_by_hand(spark):
+    """Every contract column of the query on the smallest table."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = QUERIES["op4_packing"](spark, DATA).collect()
+    tokenizer = Tokenizer.from_file(BPE_JSON)
+    bins, seen = defaultdict(list), set()
+    for r in found:
+        ids = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [0]
+        own = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+        assert zlib.crc32(own.tobytes()) == r["ids_crc32"] and len(own) == r["length"]
+        short = len(ids) % 2048 or 2048
+        assert r["start"] == (0 if r["piece"] == 0 else short + 2048 * (r["piece"] - 1)) and r["length"] == (short if r["piece"] == 0 else 2048)
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen |= {(r["doc_id"], r["start"] + k) for k in (0, r["length"] - 1)} | ({(r["doc_id"], "end")} if r["start"] + r["length"] == len(ids) else set())
+    assert {d for d, k in seen if k == "end"} == set(texts) == {d for d, k in seen if k == 0}
+    for places in bins.values():
+        places.sort()
+        assert [p[0] for p in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(bins) <= 1.01 * -(-sum(r["length"] for r in found) // 2048) + 1
+
+
 def test_special_tokens_in_texts_as_the_library_finds_them():
     tokenizer, encoder = Tokenizer.from_file(BPE_JSON), json_encoder(BPE_JSON)
     for text in ["a<|endoftext|>b", " <|endoftext|> <|endof", "x<|endoftext|><|endoftext|>"]:
