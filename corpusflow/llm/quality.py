@@ -3,10 +3,15 @@
 Base rules reject short and repetitive documents.  Of the rest, each language
 and source gets a minimum-covariance-determinant estimate of location and
 scatter of transformed statistics; documents beyond a Mahalanobis distance from
-it are rejected.  The estimate starts at medians and quartile ranges and takes
-concentration steps: the distance quantile of each group and the moments of the
-rows within it are plain aggregates over all rows, combined before the shuffle,
-so a source with a third of all documents needs no task of its own.
+it are rejected.
+
+The estimate is the fast algorithm for large tables: many random starts of few
+rows take concentration steps on a bounded sample of each group, and the best
+of them go on over all rows until their determinants stand still; the lowest one
+is the group's.  A step over all rows is one aggregate: rows are counted and
+summed by group and distance bucket, combined before the shuffle, so that the
+nearest share of a group and its moments are read off a bounded number of
+buckets, and a source with a third of all documents needs no task of its own.
 """
 
 from __future__ import annotations
@@ -15,22 +20,31 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels
-from .common import flat_bytes, materialize, text_slices
+from .common import discard, flat_bytes, materialize, text_slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits"]
 FEATURES = ["x0", "x1", "x2", "x3", "x4", "x5"]
-#: Spread below which a feature's deviations mean nothing: log of the mean word length, then square roots of shares.
+#: Resolution of the features, added to every scatter (shares are often all zero): log of the mean word length, then square roots of shares.
 FLOORS = [0.12, 0.05, 0.08, 0.08, 0.08, 0.06]
-#: Share of a group's rows that the estimate rests on, and concentration steps.
-SUBSET, STEPS = 0.75, 4
-#: Squared Mahalanobis distance beyond which a document is rejected: ten spreads, so that the long tails of clean text stay.
+#: Share of a group's rows that the estimate rests on.
+SUBSET = 0.75
+#: Rows of a group's sample, its random starts, and how many of them go on over all rows.
+SAMPLE_ROWS, STARTS, CANDIDATES = 500, 60, 2
+#: Change of the log determinant at which a fit stands still, and steps over all rows at most.
+STILL, STEPS = 0.01, 30
+#: Buckets of squared distances for each doubling.
+BUCKETS = 32
+#: Squared Mahalanobis distance beyond which a document is rejected where labels do not tell: ten spreads, so that the long tails of clean text stay.
 CUTOFF = 100.0
+#: Share of the documents labelled good that a cutoff may lose, and how many labels it takes to say so.
+CLEAN_LOSS, LEAST_LABELS = 0.002, 500
 #: Groups with fewer rows take the estimate of their language, languages that of all.
 LEAST_ROWS = 100
 #: Parts of a group when rows meet their model, so that a group of any size is several tasks.
@@ -146,77 +160,169 @@ def _distance() -> Column:
     return sum((1 if i == j else 2) * F.col(f"w{i}_{j}") * dev[i] * dev[j] for i, j in _PAIRS)
 
 
-def _inverted(moments: DataFrame, scale: float) -> DataFrame:
-    """Per group the location and the inverse of the scatter, from sums over its subset (one row for each group)."""
-    names = ["key", "n", *_MODEL]
+def _scale() -> float:
+    """Makes the scatter of the nearest ``SUBSET`` of normal rows that of all."""
+    return SUBSET / _chi2_cdf(chi2_quantile(SUBSET, len(FEATURES)), len(FEATURES) + 2)
+
+
+def _scatter(cov: np.ndarray) -> np.ndarray:
+    return cov * _scale() + np.diag(np.square(FLOORS))
+
+
+def _steps(x: np.ndarray, subsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log determinant, location and scatter of the rows of ``x`` that each of ``subsets`` names."""
+    rows = x[subsets]
+    mean = rows.mean(axis=1)
+    dev = rows - mean[:, None]
+    scatter = _scatter(np.einsum("sni,snj->sij", dev, dev) / rows.shape[1])
+    return np.linalg.slogdet(scatter)[1], mean, scatter
+
+
+def candidates(x: np.ndarray, starts: int = STARTS, keep: int = CANDIDATES, seed: int = 3) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """``(log determinant, location, scatter)`` of the best different fits to ``x``, the lowest determinant first."""
+    rng, n = np.random.default_rng(seed), len(x)
+    h = min(n, int(np.ceil(SUBSET * n)))
+
+    def concentrated(mean: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dev = x[None] - mean[:, None]
+        far = np.einsum("sni,sij,snj->sn", dev, np.linalg.inv(scatter), dev, optimize=["einsum_path", (0, 1), (0, 1)])
+        return _steps(x, np.argpartition(far, h - 1, axis=1)[:, :h])
+
+    det, mean, scatter = _steps(x, rng.permuted(np.tile(np.arange(n), (starts, 1)), axis=1)[:, : x.shape[1] + 1])
+    for _ in range(2):
+        det, mean, scatter = concentrated(mean, scatter)
+    best = np.argsort(det, kind="stable")[:10]
+    det, mean, scatter = det[best], mean[best], scatter[best]
+    for _ in range(50):
+        after = concentrated(mean, scatter)
+        still = (det - after[0] < 1e-9).all()
+        det, mean, scatter = after
+        if still:
+            break
+    done: list[int] = []
+    for k in np.argsort(det, kind="stable").tolist():
+        if all(abs(det[k] - det[other]) > 1e-6 for other in done):
+            done.append(k)
+    return [(float(det[k]), mean[k], scatter[k]) for k in done[:keep]]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                n = row["used"]
-                mean = np.array([row[f"s{i}"] for i in range(len(FEATURES))]) / n
-                cov = np.zeros((len(FEATURES), len(FEATURES)))
-                for i, j in _PAIRS:
-                    cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / n - mean[i] * mean[j]
-                inverse = np.linalg.inv(cov * scale + np.diag(np.square(FLOORS)))
-                out.append((row["key"], row["n"], *mean, *(inverse[i, j] for i, j in _PAIRS)))
-            kinds = [pa.string(), pa.int64(), *[pa.float64()] * len(_MODEL)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names=names)
 
-    return moments.mapInArrow(rows, "key string, n long, " + ", ".join(f"{c} double" for c in _MODEL))
+_MODEL_SCHEMA = "key string, c int, n long, det double, " + ", ".join(f"{c} double" for c in _MODEL)
+
+
+def _model_row(key: str, c: int, n: int, fit: tuple[float, np.ndarray, np.ndarray]) -> tuple:
+    inverse = np.linalg.inv(fit[2])
+    return (key, c, n, fit[0], *fit[1].tolist(), *(float(inverse[i, j]) for i, j in _PAIRS))
+
+
+def _start_rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    fits = candidates(group[FEATURES].to_numpy(np.float64))
+    return pd.DataFrame([_model_row(key[0], c, 0, fit) for c, fit in enumerate(fits)], columns=["key", "c", "n", "det", *_MODEL])
+
+
+def _fitted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's fit from the sums over its nearest rows."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            n = row["used"]
+            mean = np.array([row[f"s{i}"] for i in range(len(FEATURES))]) / n
+            cov = np.zeros((len(FEATURES), len(FEATURES)))
+            for i, j in _PAIRS:
+                cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / n - mean[i] * mean[j]
+            scatter = _scatter(cov)
+            out.append(_model_row(row["key"], row["c"], row["n"], (float(np.linalg.slogdet(scatter)[1]), mean, scatter)))
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * (1 + len(_MODEL))]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "c", "n", "det", *_MODEL])
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """One row of the model for each key of ``rows(key, salt, x0 .. x5)``: location and inverse scatter."""
+    """One row of the model for each key of ``rows(key, salt, draw, x0 .. x5)``: location and inverse scatter; ``draw`` orders the sample."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    n = len(FEATURES)
-    quartiles = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in FEATURES))
-    start = {f"m{i}": F.col(x)[1] for i, x in enumerate(FEATURES)}
-    for i, j in _PAIRS:
-        spread = (F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349
-        start[f"w{i}_{j}"] = 1 / (spread * spread + FLOORS[i] ** 2) if i == j else F.lit(0.0)
-    model = materialize(quartiles.select("key", "n", *(c.alias(k) for k, c in start.items())), "model")
-    scale = SUBSET / _chi2_cdf(chi2_quantile(SUBSET, n), n + 2)
+    drawn = F.row_number().over(Window.partitionBy("key").orderBy("draw", *FEATURES))
+    sample = rows.select("key", "draw", *FEATURES).withColumn("r", drawn).where(F.col("r") <= SAMPLE_ROWS)
+    model = materialize(sample.groupBy("key").applyInPandas(_start_rows, _MODEL_SCHEMA), "model")
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    names = [f"s{i}" for i in range(len(FEATURES))] + [f"s{i}_{j}" for i, j in _PAIRS]
+    below = Window.partitionBy("key", "c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    model = model.withColumn("moving", F.lit(True))
     for _ in range(STEPS):
-        placed = rows.join(model.select("*", salts), ["key", "salt"]).withColumn("d", _distance())
-        bound = materialize(placed.groupBy("key").agg(F.percentile_approx("d", SUBSET, 5000).alias("bound")), "bound")
-        within = rows.join(model.join(bound, "key").select("*", salts), ["key", "salt"]).where(_distance() <= F.col("bound"))
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
-        moments = within.groupBy("key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("used"), *sums)
-        model = materialize(_inverted(moments, scale), "model")
-    return model
+        placed = rows.join(model.where("moving").select("key", "c", *_MODEL, salts), ["key", "salt"])
+        bucket = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BUCKETS).cast("int")
+        binned = placed.groupBy("key", "c", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *sums)
+        before = binned.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("whole", F.sum("n").over(Window.partitionBy("key", "c")))
+        near = before.where(F.col("before") < SUBSET * F.col("whole")).groupBy("key", "c").agg(F.first("whole").alias("n"), F.sum("n").alias("used"), *(F.sum(s).alias(s) for s in names))
+        after = near.mapInArrow(_fitted_rows, _MODEL_SCHEMA).select("key", "c", F.struct("n", "det", *_MODEL).alias("after"))
+        lower = (F.col("n") == 0) | (F.col("after.det") < F.col("det") - STILL)  # the first step counts whatever the sample said
+        stepped = model.join(after, ["key", "c"], "left").withColumn("lower", F.col("moving") & lower)
+        values = [F.when(F.col("lower"), F.col(f"after.{v}")).otherwise(F.col(v)).alias(v) for v in ("n", "det", *_MODEL)]
+        model = materialize(stepped.select("key", "c", *values, F.col("lower").alias("moving")), "model")
+        if model.where("moving").isEmpty():
+            break
+    least = model.groupBy("key").agg(F.min_by(F.struct("n", "det", *_MODEL), F.struct("det", "c")).alias("best"))
+    return materialize(least.select("key", "best.*"), "fitted")
 
 
 def _base_failed(prefix: str) -> Column:
     return (F.col(prefix + "n_words") < 20) | (100 * F.col(prefix + "n_repeat_words") > 30 * F.col(prefix + "n_words"))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def cutoff_of(distances: DataFrame, fallback: float = CUTOFF) -> float:
+    """The least bucket bound that at most ``CLEAN_LOSS`` of the good rows of ``distances(distance, good)`` exceed."""
+    bucket = F.ceil(F.log2(F.greatest("distance", F.lit(1e-6))) * BUCKETS).alias("bucket")
+    rows = distances.where("good and distance is not null").groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()  # some hundred buckets
+    total = sum(r["n"] for r in rows)
+    if total < LEAST_LABELS:
+        return fallback
+    beyond, bound = 0, fallback
+    for r in sorted(rows, key=lambda r: -r["bucket"]):
+        bound = 2.0 ** (r["bucket"] / BUCKETS)
+        beyond += r["n"]
+        if beyond > CLEAN_LOSS * total:
+            break
+    return bound
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, labels: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``_q_*`` counts, ``_q_base_failed``, ``_q_distance`` (null if base failed) and ``_q_kept``.
 
     Reads ``text``, ``lang`` and ``source`` (a missing column counts as null);
     null and empty texts have no words and fail the base rules.  Null languages
-    and sources are groups of their own.  All rows come back with all columns.
+    and sources are groups of their own.  All rows come back with all columns;
+    repeated rows are judged alike.  With ``labels(doc_id, quality)`` (1: good) the
+    cutoff is the one that keeps all but ``CLEAN_LOSS`` of the good documents that
+    pass the base rules; fewer than ``LEAST_LABELS`` of these leave ``cutoff`` as it is.
     """
     def prepared(frame: DataFrame) -> DataFrame:
         frame = with_statistics(frame)
-        lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in docs.columns else F.lit("\0") for c in ("lang", "source"))
-        return frame.withColumns({"_q_lang": lang, "_q_key": F.concat(lang, F.lit("\1"), source), **dict(zip(FEATURES_Q, _features("_q_"), strict=True)), "_q_base_failed": _base_failed("_q_")})
-
-    needed = [c for c in ("text", "lang", "source") if c in docs.columns]
-    seen = materialize(prepared(docs.select(*needed)).where("not _q_base_failed").select("_q_key", "_q_lang", *(F.col(q).alias(x) for q, x in zip(FEATURES_Q, FEATURES, strict=True))), "statistics")
-    keys = F.explode(F.array("_q_key", "_q_lang", F.lit("\2")))
-    salted = seen.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # of a written table: the same at every try
-    model = fit(salted.select(keys.alias("key"), "salt", *FEATURES))
+        lang, source = ((F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source"))
+        keys = {"_q_key": F.concat(F.lit("group "), F.to_json(F.struct(lang, source))), "_q_lang": F.concat(F.lit("language "), F.to_json(F.struct(lang)))}
+        return frame.withColumns({**keys, **dict(zip(FEATURES_Q, _features("_q_"), strict=True)), "_q_base_failed": _base_failed("_q_")})
+
+    needed = [c for c in ("text", "lang", "source") if c in docs.columns] + (["doc_id"] if labels is not None else [])
+    known = ["doc_id"] if labels is not None else []
+    seen = materialize(prepared(docs.select(*needed)).where("not _q_base_failed").select(*known, "_q_key", "_q_lang", *(F.col(q).alias(x) for q, x in zip(FEATURES_Q, FEATURES, strict=True))), "statistics")
+    keys = F.explode(F.array("_q_key", "_q_lang", F.lit("all")))
+    number = F.monotonically_increasing_id()  # of a written table: the same at every try
+    salted = seen.withColumn("number", number).withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).withColumn("draw", F.xxhash64("number"))
+    model = fit(salted.select(keys.alias("key"), "salt", "draw", *FEATURES))
     groups = seen.select("_q_key", "_q_lang").distinct()
     own, language, every = (model.select(F.col("key").alias(k), F.struct("n", *_MODEL).alias(a)) for k, a in (("_q_key", "own"), ("_q_lang", "language"), ("_q_all", "every")))
-    groups = groups.withColumn("_q_all", F.lit("\2")).join(own, "_q_key", "left").join(language, "_q_lang", "left").join(every, "_q_all", "left")
+    groups = groups.withColumn("_q_all", F.lit("all")).join(own, "_q_key", "left").join(language, "_q_lang", "left").join(every, "_q_all", "left")
     chosen = F.when(F.col("own.n") >= LEAST_ROWS, F.col("own")).when(F.col("language.n") >= LEAST_ROWS, F.col("language")).otherwise(F.col("every"))
     groups = materialize(groups.select("_q_key", chosen.alias("_q_model")), "groups")
+
+    def far(names: list[str]) -> Column:
+        dev = [F.col(x) - F.col(f"_q_model.m{i}") for i, x in enumerate(names)]
+        return sum((1 if i == j else 2) * F.col(f"_q_model.w{i}_{j}") * dev[i] * dev[j] for i, j in _PAIRS)
+
+    if labels is not None:
+        good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        told = seen.select(F.col("doc_id").cast("long").alias("doc_id"), "_q_key", *FEATURES).join(good, "doc_id", "left_semi").join(groups, "_q_key")
+        cutoff = cutoff_of(told.select(far(FEATURES).alias("distance"), F.lit(True).alias("good")), cutoff)
+    discard(seen)
     judged = prepared(docs).join(groups, "_q_key", "left")
-    dev = [F.col(q) - F.col(f"_q_model.m{i}") for i, q in enumerate(FEATURES_Q)]
-    distance = sum((1 if i == j else 2) * F.col(f"_q_model.w{i}_{j}") * dev[i] * dev[j] for i, j in _PAIRS)
+    distance = far(FEATURES_Q)
     judged = judged.withColumn("_q_distance", F.when(~F.col("_q_base_failed"), distance))
     judged = judged.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(F.col("_q_distance") <= cutoff, F.lit(True)))
     return judged.select(*docs.columns, *("_q_" + c for c in COUNTS), "_q_base_failed", "_q_distance", "_q_kept")

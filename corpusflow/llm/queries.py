@@ -40,7 +40,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), labels=table(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *(F.col("_q_" + c).alias(c) for c in counts), F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_distance").alias("distance"))
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpusflow.llm import licenses, secrets
+from corpusflow.llm import licenses, quality, secrets
 from corpusflow.llm.bpe import encode_documents, freeze, thaw
 from corpusflow.llm.packing import pack, pack_documents, sum_of_squares
 from corpusflow.llm.queries import QUERIES
@@ -318,6 +318,66 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert abs(chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
 
+def test_the_lowest_determinant_is_found():
+    """Against every subset of a small table, and against a plain fit of a group by the operator."""
+    rng = np.random.default_rng(13)
+    for _ in range(3):
+        x = rng.normal(size=(13, 6)) * [0.5, 0.1, 0.2, 0.2, 0.3, 0.1]
+        x[:3] += 2
+        least = min(np.linalg.slogdet(quality._scatter(np.cov(x[list(rows)].T, bias=True)))[1] for rows in itertools.combinations(range(13), 10))
+        found = quality.candidates(x, starts=300)
+        assert abs(found[0][0] - least) < 1e-9 and len(found) <= quality.CANDIDATES
+
+
+def test_quality_verdict_matches_a_plain_fit(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(700):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(40, 120))]
+        for at in range(len(words)):
+            if rng.random() < 0.02 * (k % 9):
+                words[at] = rng.choice(["#" + words[at], words[at].upper(), "123"])
+        if k % 25 == 0:
+            words = [w + "$%&" * rng.randint(0, 3) for w in words]
+        text = " ".join(words)
+        rows.append((k, text + ("\nline again" * (k % 4)), "en" if k % 3 else None, "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = [r.asDict() for r in judge(docs, cutoff=30.0).collect()]
+    share = lambda a, b: min(1.0, a / max(b, 1)) ** 0.5
+    for lang in ("en", None):
+        own = [r for r in found if r["lang"] == lang and not r["_q_base_failed"]]
+        c = [{k[3:]: v for k, v in r.items() if k.startswith("_q_")} for r in own]
+        x = np.array([[np.log(max(r["word_chars"], 1) / max(r["n_words"], 1)), share(r["n_symbols"], r["word_chars"]), share(r["n_dup_lines"], r["n_lines"]), share(r["n_repeat_words"], r["n_words"]), share(r["n_upper"], r["word_chars"]), share(r["n_digits"], r["word_chars"])] for r in c])
+        h, best = int(np.ceil(0.75 * len(x))), None
+        for seed in range(15):
+            rows_ = np.random.default_rng(seed).choice(len(x), 7, replace=False)
+            for _ in range(12):
+                mean, scatter = x[rows_].mean(axis=0), quality._scatter(np.cov(x[rows_].T, bias=True))
+                far = ((x - mean) @ np.linalg.inv(scatter) * (x - mean)).sum(axis=1)
+                rows_ = np.argsort(far)[:h]
+            if best is None or np.linalg.det(scatter) < best[0]:
+                best = (np.linalg.det(scatter), far)
+        told = np.array([r["_q_distance"] for r in own])
+        assert np.abs(np.log(told / best[1])).max() < 0.15  # the operator's nearest rows are whole buckets
+        clear = np.abs(best[1] - 30) > 3
+        assert ((best[1] <= 30) == [r["_q_kept"] for r in own])[clear].all() and {r["_q_kept"] for r in own} == {True, False}
+
+
+def test_quality_cutoff_keeps_labelled_documents(spark):
+    distances = spark.createDataFrame([(1.002**k, k % 7 > 0) for k in range(10_000)] + [(None, True), (0.0, True)], "distance double, good boolean")
+    bound = quality.cutoff_of(distances)
+    good = [k for k in range(10_000) if k % 7 > 0]
+    assert 0.0005 * len(good) < sum(1.002**k > bound for k in good) <= 0.002 * len(good)
+    assert quality.cutoff_of(distances.limit(100)) == quality.CUTOFF == quality.cutoff_of(distances.limit(0))
+
+
+def test_quality_of_labelled_and_keyed_tables(spark, odd, empty):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(None, 1)], "doc_id long, quality int")
+    assert judge(odd, labels=labels).count() == odd.count() and judge(empty, labels=labels).count() == 0
+    rows = [(k, " ".join(f"w{k}{n}" for n in range(50)), lang, source) for k in range(40) for lang, source in (("a", "b\1c"), ("a\1b", "c"), (None, "a"), ("a", None), ("\2", "\0"))]
+    assert judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 200
+
+
 def test_quality_of_nothing(empty):
     assert judge(empty).collect() == []
 
