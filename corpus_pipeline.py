@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, numbered, table
+from corpusflow.llm.common import has_table, materialize, numbered, table
 from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import judge
@@ -24,8 +24,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that fail the base rules or lie beyond their group's robust distance go; each row is judged by itself."""
-    return judge(docs).where("_q_kept").select(*docs.columns)
+    """Rows that fail the base rules or lie beyond their group's robust distance go; each row is judged by itself.
+
+    Where the folder has ``labels``, the cutoff keeps what they call good.
+    """
+    labels = table(spark, sf_dir, "labels") if has_table(spark, sf_dir, "labels") else None
+    return judge(docs, labels=labels).where("_q_kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
