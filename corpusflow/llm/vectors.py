@@ -3,11 +3,15 @@
 The tree is fitted on a bounded sample; every row is then put into its leaf.  A
 query walks the tree best bin first: a priority queue holds the branches not
 taken with their distance, and leaves are visited in that order.  How many
-leaves is calibrated on held-out rows of the sample: visits widen until the
-wanted recall against brute force is reached.
+leaves is calibrated on sample rows kept out of the fit: visits widen until the
+wanted recall against brute force is reached; a walk goes on where its leaves
+hold too few rows.
 
-Leaves are cut into blocks of bounded size by a hash, so a leaf that holds a
-third of all rows is many tasks, each of which returns its own nearest few.
+The subtrees below the root are regions.  A query goes once to each region where
+it visits leaves, with their numbers, and is compared there with the rows of
+those leaves alone.  Regions are cut into blocks of bounded size by a hash, and
+queries into parts, so neither a leaf that holds a third of all rows nor one that
+all queries visit is one task.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-#: Rows that the tree is fitted and calibrated on, at most.
-SAMPLE = 20_000
-BRANCHES, LEAF_ROWS = 8, 64
+#: Rows that the tree is fitted on, at most, and bytes of them; queries that calibrate it.
+SAMPLE, SAMPLE_BYTES, CALIBRATING = 20_000, 128 << 20, 200
+BRANCHES, LEAF_ROWS = 64, 16
 #: Recall that calibration asks for, above what is promised.
-RECALL = 0.98
-#: Rows of a leaf in one block.
-BLOCK_ROWS = 4096
+RECALL = 0.94
+#: Rows of a region in one block, and queries that meet a block in one task.
+BLOCK_ROWS, PART_QUERIES = 4096, 100_000
 
 
 class Tree:
@@ -40,18 +44,23 @@ class Tree:
         self.leaves = 0
         self._rng = np.random.default_rng(seed)
         self._grow(rows, branches, leaf_rows)
+        self.region = np.zeros(self.leaves, np.int64)
+        for k, child in enumerate(self.children[0] if self.children else []):
+            self.region[self._under(child)] = k
+
+    def _under(self, node: int) -> list[int]:
+        return [-1 - node] if node < 0 else [leaf for child in self.children[node] for leaf in self._under(child)]
 
     def _grow(self, rows: np.ndarray, branches: int, leaf_rows: int) -> int:
-        if len(rows) <= leaf_rows or len(np.unique(rows[: leaf_rows * 4], axis=0)) < 2:
+        if len(rows) <= leaf_rows or (rows == rows[0]).all():
             self.leaves += 1
             return -self.leaves
         centres = rows[self._rng.choice(len(rows), min(branches, len(rows)), replace=False)].copy()
         for _ in range(12):
             owner = self._nearest(rows, centres)
-            for k in range(len(centres)):
-                own = rows[owner == k]
-                if len(own):
-                    centres[k] = own.mean(axis=0)
+            order = np.argsort(owner, kind="stable")
+            used, first, size = np.unique(owner[order], return_index=True, return_counts=True)
+            centres[used] = np.add.reduceat(rows[order], first, axis=0) / size[:, None]
         owner = self._nearest(rows, centres)
         used = np.flatnonzero(np.bincount(owner, minlength=len(centres)))
         if len(used) < 2:
@@ -86,39 +95,33 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves best bin first."""
+    def visit(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves best bin first, and more until they hold ``rows`` rows by ``sizes``."""
         if not self.centres:
             return [0]
         out: list[int] = []
-        queue = [(0.0, 0)]
-        while queue and len(out) < most:
+        held, queue = 0, [(0.0, 0)]
+        while queue and (len(out) < most or held < rows):
             _, node = heapq.heappop(queue)
             while node >= 0:
                 far = ((self.centres[node] - query) ** 2).sum(axis=1)
                 best = int(far.argmin())
-                for k, child in enumerate(self.children[node]):
+                for k, (d, child) in enumerate(zip(far.tolist(), self.children[node], strict=True)):
                     if k != best:
-                        heapq.heappush(queue, (float(far[k]), child))
+                        heapq.heappush(queue, (d, child))
                 node = self.children[node][best]
             out.append(-1 - node)
+            held += 0 if sizes is None else int(sizes[-1 - node])
         return out
 
 
-def calibrate(tree: Tree, rows: np.ndarray, k: int, recall: float = RECALL, queries: int = 300, seed: int = 11) -> int:
-    """Leaves to visit so that the ``k`` nearest of sample rows are found with ``recall``."""
-    if not tree.centres or len(rows) <= k:
-        return 1
-    leaf = tree.leaf_of(rows)
-    picks = np.random.default_rng(seed).choice(len(rows), min(queries, len(rows)), replace=False)
+def calibrate(tree: Tree, queries: np.ndarray, leaves: list[list[int]], recall: float = RECALL) -> int:
+    """Leaves to visit so that ``recall`` of the true neighbours, which lie in ``leaves`` of each query, are found."""
     ranks = []
-    for q in picks:
-        score = rows @ rows[q]
-        score[q] = -np.inf
-        near = np.argpartition(-score, k)[:k]
-        order = {v: n for n, v in enumerate(tree.visit(rows[q], tree.leaves))}
-        ranks += [order[v] for v in leaf[near].tolist()]
-    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+    for q, near in zip(queries, leaves, strict=True):
+        order = {v: n for n, v in enumerate(tree.visit(q, tree.leaves))}
+        ranks += [order[v] for v in near]
+    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if ranks else tree.leaves
 
 
 def _valid(vector: Column) -> Column:
@@ -150,8 +153,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     null, zero, or hold null or non-finite components take no part, nor do rows
     without ``vec_id`` or with another number of components than most valid
     vectors.  A repeated (``vec_id``, vector) counts once.  Queries with fewer
-    than ``k`` candidates get them all.  Other columns are ignored; empty
-    tables give no rows.
+    than ``k`` candidates get them all.  Rows of one ``vec_id`` with other vectors
+    are candidates of their own (one result where their scores are equal).  Other columns are ignored; empty tables give no rows.
     """
     spark = vectors.sparkSession
     doubles = F.col("embedding").cast("array<double>")
@@ -163,81 +166,132 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
         return spark.createDataFrame([], schema)
     width = widths[0]
     vectors, queries = (df.where(F.size("embedding") == width) for df in (vectors, queries))
-    drawn = vectors.orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * width)))
+    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
     _, rows = _unit(drawn, width)
     tree = Tree(rows)
-    visits = calibrate(tree, rows, k, recall)
+    region = tree.region
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.leaf_of(_unit(batch.column(1), width)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(region[leaf]), pa.array(leaf), *batch.columns], names=["region", "leaf", "vec_id", "embedding"])
+
+    placed = materialize(vectors.mapInArrow(place, "region long, leaf long, vec_id long, embedding array<double>"), "placed")
+    counted = placed.groupBy("leaf").agg(F.count_distinct("vec_id").alias("n")).collect()  # a row for each leaf: bounded by the sample
+    sizes = np.zeros(tree.leaves, np.int64)
+    sizes[[r["leaf"] for r in counted]] = [r["n"] for r in counted]
+
+    told = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATING).toArrow()
+    told_ids = told.column("vec_id").to_numpy()
+    told_rows = _unit(told.column("embedding").combine_chunks(), width)[1] if len(told) else np.zeros((0, width))
+
+    def true_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(told_ids):
+                continue
+            leaf, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            score = told_rows @ _unit(batch.column(3), width)[1].T
+            score[told_ids[:, None] == ids[None, :]] = -np.inf
+            at = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
+            q = np.repeat(np.arange(len(at)), at.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(score[q, at.ravel()]), pa.array(leaf[at.ravel()])], names=["q", "score", "leaf"])
+
+    place_of = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))
+    true = placed.mapInArrow(true_rows, "q long, score double, leaf long").where("score > -2").withColumn("r", place_of).where(F.col("r") <= k)
+    near: list[list[int]] = [[] for _ in told_ids]
+    for r in true.select("q", "leaf").collect():  # k rows for each calibrating query
+        near[r["q"]].append(r["leaf"])
+    visits = calibrate(tree, told_rows, near, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                _, unit = _unit(part.column(1), width)
-                leaves = [tree.visit(q, visits) for q in unit]
-                which = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves), pa.int64()), *(c.take(pa.array(which)) for c in part.columns)], names=["leaf", "vec_id", "embedding"])
-
-    placed = materialize(vectors.mapInArrow(place, "leaf long, vec_id long, embedding array<double>"), "placed")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    members = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))  # a row for each leaf: bounded by the sample
-    walked = queries.mapInArrow(walk, "leaf long, vec_id long, embedding array<double>")
-    asked = walked.join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                which, regions, leaves = [], [], []
+                for n, q in enumerate(_unit(part.column(1), width)[1]):
+                    seen = np.array(tree.visit(q, visits, sizes, k + 1))
+                    for r in np.unique(region[seen]).tolist():
+                        which.append(n)
+                        regions.append(r)
+                        leaves.append(np.sort(seen[region[seen] == r]))
+                columns = [pa.array(regions, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), *(c.take(pa.array(which, pa.int64())) for c in part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["region", "leaves", "vec_id", "embedding"])
+
+    parts = max(1, -(-queries.count() // PART_QUERIES))
+    blocks = placed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    members = placed.join(F.broadcast(blocks), "region").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))  # a row for each region: at most BRANCHES
+    members = members.withColumn("part", every(F.lit(parts).cast("long"))).withColumn("leaves", F.array("leaf"))
+    asked = queries.mapInArrow(walk, "region long, leaves array<long>, vec_id long, embedding array<double>").join(F.broadcast(blocks), "region")
+    asked = asked.withColumn("block", every(F.col("blocks"))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts).cast("long")))
+
+    def compared(have: list[pa.RecordBatch], want: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The ``k`` nearest rows to each query, of the leaves that it visits."""
+        own = pa.Table.from_batches(have).combine_chunks()
+        ids = own.column("vec_id").to_numpy()
+        raw, _ = _unit(own.column("embedding").combine_chunks(), width)
+        once = _once(ids, raw)
+        leaf = own.column("leaves").combine_chunks().flatten().to_numpy()[once]
+        order = np.argsort(leaf, kind="stable")
+        leaf, ids, raw = leaf[order], ids[once][order], raw[once][order]
+        norm = np.sqrt((raw * raw).sum(axis=1))
+        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        ends = np.append(starts[1:], len(leaf))
+        q_ids = want.column("vec_id").to_numpy()
+        q_raw, _ = _unit(want.column("embedding").combine_chunks(), width)
+        q_norm = np.sqrt((q_raw * q_raw).sum(axis=1))
+        lists = want.column("leaves").combine_chunks()
+        visited = lists.flatten().to_numpy()
+        asker = np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy())
+        by_leaf = np.argsort(visited, kind="stable")
+        visited, asker = visited[by_leaf], asker[by_leaf]
+        q_out, v_out, s_out = [], [], []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            lo, hi = np.searchsorted(visited, [leaf[a], leaf[a] + 1])
+            if lo == hi:
+                continue
+            q = asker[lo:hi]
+            score = (q_raw[q] @ raw[a:b].T) / (q_norm[q][:, None] * norm[a:b][None, :])
+            score[q_ids[q][:, None] == ids[a:b][None, :]] = -np.inf
+            n = min(k * int(np.unique(ids[a:b], return_counts=True)[1].max()), b - a)  # rows of one vec_id with equal scores are one result
+            least = -np.partition(-score, n - 1, axis=1)[:, n - 1]  # ties at the last place all stay for now
+            i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            q_out.append(q[i])
+            v_out.append(ids[a + j])
+            s_out.append(score[i, j])
+        if not q_out:
+            return
+        q, v, score = (np.concatenate(x) for x in (q_out, v_out, s_out))
+        order = np.lexsort((v, -score, q))
+        q, v, score = q[order], v[order], score[order]
+        fresh = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (score[1:] != score[:-1]))[: len(q)]
+        q, v, score = q[fresh], v[fresh], score[fresh]
+        first = np.append(True, q[1:] != q[:-1])[: len(q)]
+        keep = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) < k
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[keep]]), pa.array(v[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            role = table.column("role").to_numpy()
-            ids = table.column("vec_id").to_numpy()
-            raw, _ = _unit(table.column("embedding").combine_chunks(), width)
-            norm = np.sqrt((raw * raw).sum(axis=1))
-            have, want = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            if not len(have):
-                return
-            have = have[_once(ids[have], raw[have])]
-            # Rows of one vec_id with equal scores are one result, so k results may take so many rows.
-            most = k * int(np.unique(ids[have], return_counts=True)[1].max())
-            for at in range(0, len(want), 512):
-                own = want[at : at + 512]
-                score = (raw[own] @ raw[have].T) / (norm[own][:, None] * norm[have][None, :])
-                score[ids[own][:, None] == ids[have][None, :]] = -np.inf
-                # Ties at the last place: keep all whose score reaches the k-th, then order.
-                n = min(most, len(have))
-                least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                q, v = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                found = score[q, v]
-                order = np.lexsort((ids[have[v]], -found, q))
-                q, v, found = q[order], v[order], found[order]
-                fresh = np.append(True, (q[1:] != q[:-1]) | (found[1:] != found[:-1]) | (ids[have[v[1:]]] != ids[have[v[:-1]]]))[: len(q)]
-                q, v, found = q[fresh], v[fresh], found[fresh]
-                first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
-                rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-                keep = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own[q[keep]]]), pa.array(ids[have[v[keep]]]), pa.array(found[keep])], names=["query_id", "vec_id", "score"])
-
-        held: list[pa.RecordBatch] = []
+        have: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            keys = list(zip(batch.column("leaf").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            begin = 0
-            for i in range(len(keys) + 1):
-                if i == len(keys) or keys[i] != now:
-                    if i > begin:
-                        held.append(batch.slice(begin, i - begin))
-                    if i < len(keys):
-                        if held:
-                            yield from solved(held)
-                        held, now, begin = [], keys[i], i
-        if held:
-            yield from solved(held)
-
-    both = members.select("leaf", "block", F.lit(0).alias("role"), "vec_id", "embedding").unionByName(asked.select("leaf", "block", F.lit(1).alias("role"), "vec_id", "embedding"))
-    dealt = both.repartition(shuffle_partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "role", "vec_id")
+            keys = np.stack([batch.column(c).to_numpy() for c in ("region", "block", "part", "role")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if b == a:
+                    continue
+                if tuple(keys[a, :3]) != now:
+                    now, have = tuple(keys[a, :3]), []
+                if keys[a, 3] == 0:  # a block's rows come first and are held, its queries pass by
+                    have.append(batch.slice(a, b - a))
+                elif have:
+                    for at in range(a, b, 512):
+                        yield from compared(have, pa.Table.from_batches([batch.slice(at, min(512, b - at))]))
+
+    columns = ["region", "block", "part", "role", "leaves", "vec_id", "embedding"]
+    both = members.withColumn("role", F.lit(0)).select(*columns).unionByName(asked.withColumn("role", F.lit(1)).select(*columns))
+    dealt = both.repartition(shuffle_partitions(spark), "region", "block", "part").sortWithinPartitions("region", "block", "part", "role", "vec_id")
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     found = found.distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusflow.llm import chat, urls, vectors
@@ -117,6 +118,49 @@ def test_nearest_counts_repeated_rows_once(spark):
         assert [v for _, v in sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == q)] == [i for _, i in near]
 
 
+def test_nearest_scans_less_than_half_and_finds_nine_tenths(spark):
+    """The query on a whole table, against brute force; and the share of rows that a walk looks at."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = {}
+    for r in QUERIES["op10_nearest"](spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i in ids.tolist() if i % 50 == 0}
+    norm, hits = np.sqrt((x * x).sum(axis=1)), 0
+    for at in np.flatnonzero(ids % 50 == 0).tolist():
+        score = x @ x[at] / (norm * norm[at])
+        score[ids == ids[at]] = -np.inf
+        own = sorted(found[ids[at]])
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and sorted(own, key=lambda r: (-r[2], r[1])) == own
+        assert all(abs(score[ids == v].max() - s) < 1e-12 for _, v, s in own)
+        hits += len({v for _, v, _ in own} & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(found)
+    unit = x / norm[:, None]
+    tree = vectors.Tree(unit)
+    leaf = tree.leaf_of(unit)
+    score = unit[::20] @ unit.T
+    score[ids[::20][:, None] == ids[None, :]] = -np.inf
+    most = vectors.calibrate(tree, unit[::20], [leaf[near].tolist() for near in np.argsort(-score, axis=1)[:, :5]])
+    size = np.bincount(leaf, minlength=tree.leaves)
+    assert np.mean([size[tree.visit(q, most)].sum() for q in unit[::20]]) < 0.4 * len(unit)
+
+
+def test_nearest_walks_on_until_it_has_enough(spark):
+    """Tight groups of few rows: the calibrated leaves alone would not hold five others."""
+    rng = np.random.default_rng(6)
+    rows = [(4 * c + n, (rng.normal(size=8) * 1e-6 + centre).tolist()) for c, centre in enumerate(rng.normal(size=(400, 8)) * 10) for n in range(4)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, block int")
+    found = vectors.nearest(frame, frame.where("vec_id % 50 = 0"), k=9, recall=0.05, block_rows=50)
+    assert {r["n"] for r in found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {9}
+
+
+def test_nearest_of_one_id_with_several_vectors(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.8, 0.2]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (0, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    found = vectors.nearest(frame, frame.where("vec_id = 2")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [0, 1, 1, 0]
+
+
 def test_nearest_with_few_and_no_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     found = vectors.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
