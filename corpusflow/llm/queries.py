@@ -84,9 +84,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns recovered from transcripts of all conversations; ``n_right`` counts lines whose role was recovered."""
-    lines = materialize(chat.transcript_lines(table(spark, sf_dir, "conversations")), "transcripts")
+    lines = materialize(chat.parse(chat.transcript_lines(table(spark, sf_dir, "conversations"))), "transcripts")
     found = materialize(chat.recover_roles(lines, chat.fit(lines)), "roles")
-    right = found.select("conv_id", "n", F.col("role").alias("found")).join(lines, ["conv_id", "n"]).groupBy("conv_id")
+    right = found.select("conv_id", "n", F.col("role").alias("found")).join(lines.select("conv_id", "n", "role"), ["conv_id", "n"]).groupBy("conv_id")
     right = right.agg(F.count(F.lit(1)).alias("n_lines"), F.sum((F.col("found") == F.col("role")).cast("long")).alias("n_right"))
     turns = chat.render(found).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("rendered")).alias("n_chars"), F.sum(F.crc32("rendered")).alias("rendered_sum"))
     return turns.join(right, "conv_id")

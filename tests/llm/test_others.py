@@ -1,6 +1,8 @@
 """URLs, chat, nearest neighbours, the pipeline."""
 
+import itertools
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -62,6 +64,7 @@ def test_chat_recovers_roles_and_segments_agree(spark):
     lines = chat.transcript_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     told = lines.collect()
     assert sorted(r["n"] for r in told if r["conv_id"] == 3) == list(range(sum(r["conv_id"] == 3 for r in told)))
+    lines = chat.parse(lines)
     model = chat.fit(lines.where("conv_id < 20"))
     whole, cut = (sorted(map(tuple, chat.recover_roles(lines, model, s).collect())) for s in (512, 3))
     assert [w[3:] for w in whole] == [c[3:] for c in cut] and len(whole) == len(told)
@@ -74,7 +77,65 @@ def test_chat_recovers_roles_and_segments_agree(spark):
 
 def test_chat_of_nothing(spark):
     lines = chat.transcript_lines(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
-    assert chat.recover_roles(lines, chat.fit(lines)).collect() == []
+    lines = chat.parse(lines)
+    assert chat.recover_roles(lines, chat.fit(lines)).collect() == [] and chat.render(chat.recover_roles(lines, chat.fit(lines))).collect() == []
+
+
+def test_chat_of_odd_lines(spark):
+    """Nulls, empty and long lines, repeated conversations, clashing columns."""
+    rows = [(1, 0, None), (1, 1, ""), (1, 2, "User: " + "x" * 100_000), (None, 0, "Bot: hello"), (None, 1, "what?"), (2, 0, "Assistant: yes")]
+    lines = chat.parse(spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, n long, line string, segment int, before string"))
+    found = chat.recover_roles(lines, chat.fit(lines)).collect()
+    assert Counter((r["conv_id"], r["n"]) for r in found) == Counter((c, n) for c, n, _ in rows) and {r["role"] for r in found} <= set(chat.ROLES)
+    assert next(r["body"] for r in found if r["conv_id"] == 1 and r["n"] == 2) == "x" * 100_000
+    turns = chat.render(chat.recover_roles(lines, chat.fit(lines))).collect()
+    assert all(t["rendered"].startswith(f"<|{t['role']}|>\n") for t in turns)
+
+
+def test_viterbi_against_every_path():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        model = chat.Model(rng.integers(0, 9, 6), rng.integers(0, 9, (6, 6)), rng.integers(0, 9, (6, chat.FEATURES)))
+        sequences = [rng.integers(0, chat.FEATURES, n) for n in (1, 4, 2, 5, 3)]
+        before, after = rng.integers(-1, 6, 5), rng.integers(-1, 6, 5)
+        for k, (f, states) in enumerate(zip(sequences, model.decode(sequences, before, after), strict=True)):
+            def score(path, f=f, k=k):
+                first = model.start[path[0]] if before[k] < 0 else model.step[before[k], path[0]]
+                return first + sum(model.step[a, b] for a, b in itertools.pairwise(path)) + sum(model.emit[s, x] for s, x in zip(path, f, strict=True))
+
+            paths = [p for p in itertools.product(range(6), repeat=len(f)) if after[k] < 0 or p[-1] == after[k]]
+            assert abs(score(states) - max(map(score, paths))) < 1e-6 * (1 + abs(score(states)))
+
+
+def test_chat_query_counts_all_lines(spark):
+    """The query against a plain Viterbi over each conversation."""
+    found = {r["conv_id"]: r for r in QUERIES["op9_chat"](spark, DATA).collect()}
+    lines = chat.parse(chat.transcript_lines(spark.read.parquet(f"{DATA}/conversations.parquet")))
+    model = chat.fit(lines)
+    told = {}
+    for r in lines.collect():
+        told.setdefault(r["conv_id"], []).append((r["n"], r["feature"], r["role"], r["body"]))
+    assert set(found) == set(told)
+    for conv, rows in told.items():
+        rows.sort()
+        score, back = model.start + model.emit[:, rows[0][1]], []
+        for _, f, _, _ in rows[1:]:
+            through = score[:, None] + model.step
+            back.append(through.argmax(axis=0))
+            score = through.max(axis=0) + model.emit[:, f]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.insert(0, int(b[path[0]]))
+        r, states = found[conv], [chat.STATES[s] for s in path]
+        turns, texts = sum(first for _, first in states), []
+        for (role, first), row in zip(states, rows, strict=True):
+            if first:
+                texts.append(f"<|{role}|>\n{row[3]}")
+            else:
+                texts[-1] += "\n" + row[3]
+        texts = [t + "<|end|>\n" for t in texts]
+        assert (r["n_lines"], r["n_right"], r["n_turns"]) == (len(rows), sum(s[0] == row[2] for s, row in zip(states, rows, strict=True)), turns)
+        assert (r["n_chars"], r["rendered_sum"]) == (sum(map(len, texts)), sum(zlib.crc32(t.encode()) for t in texts))
 
 
 def _brute(rows, queries, k):
