@@ -5,17 +5,20 @@ starts earlier (in a smaller ``doc_id``, or earlier in the same document).
 
 Anchors: every window of ``length`` bytes picks its first gram of ``GRAM`` bytes with
 the smallest hash, so equal windows pick equal anchors at equal places.  An
-anchor's piece is what the windows that picked it cover.  Pieces of one anchor that are
-equal as a whole are counted together before anything is sorted (the first in
-the corpus stays, the others are covered), in each task before the shuffle and
-again after it.  Anchors left with different pieces are where texts part ways:
-their pieces are dealt to shards by the bytes they must share, and each shard
-is decided by its suffix array (induced sorting) and permuted common prefixes.
-Two windows are equal where all common prefixes between them in the suffix
-array reach ``length``.
-
-A group of copies or a passage in a third of all documents costs a row per task
-and anchor, whatever its size.
+anchor's piece is what the windows that picked it cover.  Grams say only which
+pieces to look at: those whose gram occurs twice.  Their bytes are dealt to
+shards by what they must share, and each shard is decided by its suffix array
+(induced sorting) and permuted common prefixes: two windows are equal where all
+common prefixes between them in the suffix array reach ``length``.  Pieces that
+are equal byte for byte are one string of the array that occurs at several
+places.  Nothing is removed because hashes are equal.
+
+Skew: equal pieces of a slice of text are compared and counted together before
+the shuffle, so copies and passages cost a row for each slice and anchor.  A gram
+that is frequent within a slice is known to be shared, so at most one row for
+each slice meets the others of its gram.  A shard key with more than ``HOT_ROWS``
+pieces (a passage of which each document has other surroundings) is decided by
+its windows, grouped by their bytes in DataFrame steps that combine and split.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ GRAM = 32
 COMBINE_BYTES = 8 * SLICE_BYTES
 #: Bytes of pieces in one suffix array; more only where one key has them.
 SHARD_BYTES = 1 << 20
+#: Pieces of one key that a suffix array takes; a key with more is decided window by window.
+HOT_ROWS = 20_000
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,41 +94,70 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first], reach[last]
 
 
-_ANCHORS = "h long, ctx long, doc long, loc long"
+_ANCHORS = "h long, kind int, doc long, loc long"
+#: Kinds of rows: a gram's first piece in a slice (and one whose gram the slice holds again), a piece to look at, covered bytes.
+FIRST, FIRST_OF_MANY, LOOK, COVERED = range(4)
 
 
-def _covered_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    spread = kernels.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(doc), pa.int64()), pa.array(doc), pa.array(start << 32 | end)], names=["h", "ctx", "doc", "loc"])
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return kernels.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
+
+
+def _anchor_batch(h: np.ndarray, kind: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.int32()), pa.array(doc, pa.int64()), pa.array(loc, pa.int64())], names=["h", "kind", "doc", "loc"])
+
+
+def _equal_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray, together: int = 1 << 15) -> np.ndarray:
+    """Whether the ``size`` bytes from ``one`` and from ``other`` are the same."""
+    out = np.zeros(len(one), bool)
+    for k in range(0, len(one), together):
+        a, b, n = one[k : k + together], other[k : k + together], size[k : k + together]
+        ends = np.cumsum(n)
+        within = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        out[k : k + together] = np.logical_and.reduceat(data[np.repeat(a, n) + within] == data[np.repeat(b, n) + within], ends - n)
+    return out
 
 
 def _anchor_rows(length: int):
-    def combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, ctx, doc, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+    def combined(texts: list[np.ndarray], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate(texts)
+        h, ctx, doc, loc, begin = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((loc, doc, ctx, h))
-        h, ctx, doc, loc = h[order], ctx[order], doc[order], loc[order]
-        first = np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]))[: len(h)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (h, ctx, doc, loc)], names=["h", "ctx", "doc", "loc"])
-        owner = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        later = ~first & ((doc != doc[owner]) | (loc != loc[owner]))
-        at = loc[later] >> 16
-        yield _covered_batch(*_runs(doc[later], at - (loc[later] >> 8 & 255), at + (loc[later] & 255)))
+        h, ctx, doc, loc, begin = h[order], ctx[order], doc[order], loc[order], begin[order]
+        size = (loc >> 8 & 255) + (loc & 255)
+        other_gram = np.append(True, h[1:] != h[:-1])[: len(h)]
+        fresh = other_gram | np.append(True, ctx[1:] != ctx[:-1])[: len(h)]
+        owner = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+        later = np.flatnonzero(~fresh & (size == size[owner]))
+        later = later[_equal_bytes(data, begin[later], begin[owner[later]], size[later])]
+        covered = np.zeros(len(h), bool)
+        covered[later] = True
+        itself = covered & (doc == doc[owner]) & (loc == loc[owner])  # a repeated row
+        at = (loc >> 16)[covered & ~itself]
+        where = _runs(doc[covered & ~itself], at - (loc >> 8 & 255)[covered & ~itself], at + (loc & 255)[covered & ~itself])
+        yield _anchor_batch(_spread(where[0], where[1]), np.full(len(where[0]), COVERED), where[0], where[1] << 32 | where[2])
+        many = np.append(h[1:] == h[:-1], False)[: len(h)]
+        kind = np.where(other_gram, np.where(many, FIRST_OF_MANY, FIRST), LOOK)[~covered]
+        h, doc, loc = h[~covered], doc[~covered], loc[~covered]
+        yield _anchor_batch(np.where(kind == LOOK, _spread(doc, loc), h), kind, doc, loc)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        texts: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for part in text_slices(batch.filter(batch.column(0).is_valid())):
                 data, offsets = flat_bytes(part.column(1))
                 row, at, left, right, gram, whole = anchors(data, offsets, length)
                 doc = part.column(0).to_numpy(zero_copy_only=False)[row]
-                held.append((gram.view(np.int64), whole.view(np.int64), doc, at << 16 | left << 8 | right))
+                held.append((gram.view(np.int64), whole.view(np.int64), doc, at << 16 | left << 8 | right, size + offsets[row] + at - left))
+                texts.append(data)
                 size += len(data)
                 if size >= COMBINE_BYTES:
-                    yield from combined(held)
-                    held, size = [], 0
+                    yield from combined(texts, held)
+                    held, texts, size = [], [], 0
         if held:
-            yield from combined(held)
+            yield from combined(texts, held)
 
     return rows
 
@@ -250,24 +284,48 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def _window_rows(length: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                docs, starts, windows = [], [], []
+                for doc, start, piece in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    for k in range(len(piece) - length + 1):
+                        docs.append(doc)
+                        starts.append(start + k)
+                        windows.append(piece[k : k + length])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(windows, pa.binary())], names=["doc", "start", "piece"])
+
+    return rows
+
+
+def _hot_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """``(doc, loc)`` of the windows of ``pieces(doc, start, piece)`` that also start earlier, by their bytes."""
+    windows = materialize(pieces.mapInArrow(_window_rows(length), "doc long, start long, piece binary"), "windows")
+    first = windows.groupBy("piece").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first <> last").drop("last")
+    later = windows.join(first, "piece").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    return later.select("doc", F.shiftleft("start", 32).bitwiseOR(F.col("start") + length).alias("loc"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(doc, loc)``: bytes ``loc >> 32`` to ``loc & 0xFFFFFFFF`` of a document go; intervals may overlap."""
-    rows = docs.mapInArrow(_anchor_rows(length), _ANCHORS)
-    by_gram = Window.partitionBy("h")
-    rows = rows.repartition(max(shuffle_partitions(docs.sparkSession), 1), "h").sortWithinPartitions("h", "ctx", "doc", "loc")
-    rows = rows.withColumn("lo", F.min("ctx").over(by_gram)).withColumn("hi", F.max("ctx").over(by_gram))
-    earliest = F.first(F.struct("doc", "loc")).over(Window.partitionBy("h", "ctx").orderBy("doc", "loc"))
-    rows = rows.withColumn("repeat", F.col("ctx").isNotNull() & (earliest != F.struct("doc", "loc")))
-    at = F.shiftright("loc", 16)
-    piece = F.shiftleft(at - F.shiftright("loc", 8).bitwiseAND(F.lit(255)), 32).bitwiseOR(at + F.col("loc").bitwiseAND(F.lit(255)))
-    told = materialize(
-        rows.where("ctx is null or repeat or lo <> hi").select("doc", F.when(F.col("ctx").isNull(), F.col("loc")).when(F.col("repeat"), piece).alias("covered"), F.when(F.col("ctx").isNotNull() & ~F.col("repeat"), F.col("loc")).alias("piece")),
-        "anchors",
-    )
+    if not GRAM < length < 256:
+        raise ValueError(f"length must lie between {GRAM} and 256")
+    parts = max(shuffle_partitions(docs.sparkSession), 1)
+    rows = docs.mapInArrow(_anchor_rows(length), _ANCHORS).repartition(parts, "h")
+    shared = F.count(F.lit(1)).over(Window.partitionBy("h")) > 1  # a row for each slice at most
+    rows = rows.withColumn("look", F.when(F.col("kind") == FIRST, shared).otherwise(F.col("kind") != COVERED))
+    told = materialize(rows.where(F.col("look") | (F.col("kind") == COVERED)).select("doc", F.when(F.col("look"), F.col("loc")).alias("piece"), F.when(~F.col("look"), F.col("loc")).alias("covered")), "anchors")
     wanted = told.where("piece is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("piece").alias("locs"))
-    pieces = docs.join(wanted, "doc_id").mapInArrow(_piece_rows(length), _PIECES)
-    shards = pieces.repartition(max(shuffle_partitions(docs.sparkSession), 1), "key").sortWithinPartitions("key", "doc", "start")
-    found = materialize(shards.mapInArrow(_shard_rows(length), "doc long, loc long"), "repeats")
+    pieces = materialize(docs.join(wanted, "doc_id").mapInArrow(_piece_rows(length), _PIECES), "pieces")
+    hot = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key"), "hot")
+    split = not hot.isEmpty()
+    shards = (pieces.join(hot, "key", "left_anti") if split else pieces).repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
+    found = shards.mapInArrow(_shard_rows(length), "doc long, loc long")
+    if split:
+        found = found.unionByName(_hot_spans(pieces.join(hot, "key", "left_semi").select("doc", "start", "piece"), length))
+    found = materialize(found, "repeats")
+    discard(pieces)
     return told.where("covered is not null").select("doc", F.col("covered").alias("loc")).unionByName(found)
 
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import mix
-
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S-type); ``s`` ends with its unique least symbol."""
@@ -117,20 +115,20 @@ def _induce(s: np.ndarray, rising: np.ndarray, leftmost: np.ndarray, sigma: int)
     return np.array(_induce_singly(s.tolist(), rising.tolist(), leftmost.tolist(), sigma))
 
 
-def _names(s: np.ndarray, rising: np.ndarray, places: np.ndarray, by_order: np.ndarray) -> tuple[np.ndarray, int]:
-    """A name for each leftmost-smaller substring, by rank; equal ones share it."""
-    codes = mix(s.astype(np.uint64) + np.uint64(0x1234567))
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    up, down = np.full(len(s) + 1, base, np.uint64), np.full(len(s) + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(codes * up[:-1], dtype=np.uint64))
-    ends = np.append(places[1:] + 1, len(s))
-    hashes = np.zeros(len(s), np.uint64)
-    hashes[places] = mix((sums[ends] - sums[places]) * down[places] + (ends - places).astype(np.uint64))
-    ordered = hashes[by_order]
-    rank = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
+def _names(s: np.ndarray, places: np.ndarray, by_order: np.ndarray) -> tuple[np.ndarray, int]:
+    """A name for each leftmost-smaller substring, by rank; equal ones (neighbours in ``by_order``, compared symbol by symbol) share it."""
+    sizes = np.zeros(len(s), np.int64)
+    sizes[places] = np.append(places[1:] + 1, len(s)) - places
+    one, other = by_order[:-1], by_order[1:]
+    differ = sizes[one] != sizes[other]
+    alike = np.flatnonzero(~differ)
+    lengths = sizes[one[alike]]
+    ends = np.cumsum(lengths)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    unequal = s[np.repeat(one[alike], lengths) + within] != s[np.repeat(other[alike], lengths) + within]
+    if len(alike):
+        differ[alike] = np.logical_or.reduceat(unequal, ends - lengths)
+    rank = np.cumsum(np.append(False, differ))
     names = np.zeros(len(s), np.int64)
     names[by_order] = rank
     return names[places], int(rank[-1]) + 1
@@ -146,7 +144,7 @@ def _sorted_suffixes(s: np.ndarray, sigma: int) -> np.ndarray:
     if len(places) > 1:
         order = _induce(s, rising, places, sigma)
         by_order = order[is_leftmost[order]]
-        names, kinds = _names(s, rising, places, by_order)
+        names, kinds = _names(s, places, by_order)
         if kinds < len(places):
             by_order = places[_sorted_suffixes(names, kinds)]
         places = by_order

@@ -1,6 +1,7 @@
 """MinHash and suffix-array dedup against plain Python."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -10,10 +11,11 @@ from brute import near_components, removed_bytes
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusflow.llm import kernels
+from corpusflow.llm import kernels, substrings
 from corpusflow.llm.common import flat_bytes
 from corpusflow.llm.components import connected_components
 from corpusflow.llm.minhash import band_keys, near_duplicates, one_permutation
+from corpusflow.llm.queries import QUERIES
 from corpusflow.llm.substrings import cut_repeats
 from corpusflow.llm.suffix import common_prefixes, suffix_array
 
@@ -99,6 +101,42 @@ def test_cut_repeats_match_brute_force(spark, odd, odd_rows):
             assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
 
 
+@pytest.mark.parametrize("hot_rows", [20_000, 3])
+def test_cut_repeats_of_a_passage_with_other_surroundings(spark, hot_rows, monkeypatch):
+    """One passage in most documents, between texts of their own: also where its keys are split."""
+    monkeypatch.setattr(substrings.repeated_spans, "__defaults__", (100, hot_rows))
+    rng = random.Random(21)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, edge = words(260), words(97)
+    rows = [(k, words(rng.randint(0, 90)) + (passage if k % 3 else edge) + words(rng.randint(0, 90))) for k in range(90)]
+    rows += [(100 + k, passage[: 99 + k] + edge * 3) for k in range(4)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == removed_bytes(rows, 100)
+
+
+def test_cut_repeats_when_hashes_collide(spark, monkeypatch):
+    """With hashes of three bits nothing but equal bytes goes."""
+    rng = random.Random(22)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(300))) for k in range(12)]
+    rows += [(20 + k, rows[k][1][50:230] + rows[k + 1][1]) for k in range(6)]
+    whole = kernels.range_hash
+    monkeypatch.setattr(substrings.kernels, "range_hash", lambda *args: whole(*args) & np.uint64(7 << 32))
+    held = []
+    for part in (rows[:9], rows[9:]):
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([t for _, t in part])], names=["doc_id", "text"])
+        held += substrings._anchor_rows(100)(iter([batch]))
+    covered = {(d, b) for batch in held for _, kind, d, loc in zip(*(c.to_pylist() for c in batch.columns), strict=True) if kind == substrings.COVERED for b in range(loc >> 32, loc & 0xFFFFFFFF)}
+    assert not covered - {(d, b) for d, text in rows for k in range(len(text) - 99) if any(text[k : k + 100] in other for e, other in rows if e < d) for b in range(k, k + 100)}
+
+
+def test_suffix_dedup_query_by_hand(spark):
+    """Every contract column of the query on a whole table."""
+    data = "/root/testdata/sf0.01"
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op2_suffix_array"](spark, data).collect()}
+    assert found == removed_bytes(rows, 100)
+
+
 def test_cut_repeats_of_other_texts_under_one_id(spark):
     rows = [(1, "x" * 300), (1, "y" * 300), (2, None)]
     found = sorted((r["doc_id"], r["n_removed"]) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
