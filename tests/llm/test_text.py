@@ -132,6 +132,29 @@ def test_licenses_named_in_one_word_or_by_other_words(spark):
         assert texts[text] in found[k]["labels"].split(",") and found[k]["score"] > 0, text
 
 
+def test_licenses_query_by_hand(spark):
+    """Every contract column of the query on a whole table, against a matcher without gate, keywords or windows."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()]
+    found = {r["doc_id"]: r for r in QUERIES["op3_licenses"](spark, MORE).collect()}
+    assert len(found) == len(rows)
+    rules = [(k, label, re.compile(pattern), priority, sure) for k, label, _, pattern, priority, sure in licenses.rules()]
+    labelled = 0
+    for doc, text in rows:
+        r = found[doc]
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(text or ""))
+        line = f" {' '.join(words)} "
+        hits = [(line[: m.start()].count(" ") - 1, line[: m.end()].count(" ") - 1, -priority, k, label, sure) for k, label, pattern, priority, sure in rules for m in pattern.finditer(line)]
+        hits.sort(key=lambda h: (h[0], -h[1], h[2], h[3]))
+        kept = [h for n, h in enumerate(hits) if not any(o[2] <= h[2] and o[1] >= h[1] for o in hits[:n])]
+        places = [(k, label) for phrase, label in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        base = {label for _, label in places}
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(places, default=(None,))[0], max(places, default=(None,))[0])
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | {h[4] for h in kept}))
+        assert r["score"] == max((h[5] for h in kept), default=0.0)
+        labelled += bool(hits)
+    assert labelled > 20
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
