@@ -18,6 +18,8 @@ from .scalar import trimmed
 MOJIBAKE = [("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("â€“", "–"), ("â€”", "—"), ("Ã«", "ë"), ("Ã©", "é"), ("Ã¯", "ï"), ("Ã¼", "ü")]
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
 INVISIBLE = "​‌‍﻿­"
+#: Fixed value: control characters that extraction leaves behind; those beyond ASCII stay.
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 #: Bytes that Windows-1252 leaves open and that are read as control characters.
 _OPEN_BYTES = {c: bytes([c]) for c in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -100,7 +102,7 @@ def clean_page(text: Column) -> Column:
 
 
 def drop_controls(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\p{Cc}&&[^\n\t]]", "")
+    return F.regexp_replace(text, _CONTROLS, "")
 
 
 def drop_invisible(text: Column) -> Column:

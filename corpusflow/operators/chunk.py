@@ -131,8 +131,8 @@ def paragraph_window(text: str, target: int = 1000, most: int = 1500, least: int
 STRATEGIES: dict[str, Strategy] = {"sentence": sentence_window, "table": table_window, "paragraph": paragraph_window}
 
 
-def chunk_documents(docs: DataFrame, strategy: str | Strategy = "sentence", id_column: str = "source_id", ordinal: str = "ordinal", content: str = "content") -> DataFrame:
-    """``(id, ordinal, chunk_index, chunk)`` of every document page; blank contents have no chunks."""
+def chunk_documents(docs: DataFrame, strategy: str | Strategy = "sentence", id_column: str = "source_id", ordinal: str = "ordinal", content: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, ordinal, chunk_index, chunk)`` of every document page, and its columns ``carry``; blank contents have no chunks."""
     cut = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +146,11 @@ def chunk_documents(docs: DataFrame, strategy: str | Strategy = "sentence", id_c
                         number.append(n)
                         chunks.append(chunk)
                 take = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()), pa.array(chunks, pa.string())], names=[id_column, ordinal, "chunk_index", "chunk"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()), pa.array(chunks, pa.string()), *(c.take(take) for c in part.columns[3:])], names=[id_column, ordinal, "chunk_index", "chunk", *carry])
 
     kinds = dict(docs.dtypes)
-    return docs.select(id_column, ordinal, content).mapInArrow(rows, f"{id_column} {kinds[id_column]}, {ordinal} {kinds[ordinal]}, chunk_index int, chunk string")
+    schema = f"{id_column} {kinds[id_column]}, {ordinal} {kinds[ordinal]}, chunk_index int, chunk string" + "".join(f", {c} {kinds[c]}" for c in carry)
+    return docs.select(id_column, ordinal, content, *carry).mapInArrow(rows, schema)
 
 
 def assemble(chunks: DataFrame, documents: DataFrame) -> DataFrame:

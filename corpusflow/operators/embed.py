@@ -43,6 +43,12 @@ def split_by_cache(chunks: DataFrame, cache: DataFrame, dims: int | None) -> Dat
     return chunks.join(known.select("content_hash", "vector").dropDuplicates(["content_hash"]), "content_hash", "left")
 
 
+def transient(error: Exception) -> bool:
+    """Whether another try may help: no answer, too many requests, or a failure on the other side."""
+    status = getattr(error, "status", getattr(error, "code", None))
+    return isinstance(error, (TimeoutError, ConnectionError)) or status == 429 or (isinstance(status, int) and 500 <= status < 600)
+
+
 def embed_texts(rows: DataFrame, embedder: Embedder, dims: int, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """``(content_hash, vector, retries, bad_dims)`` for ``rows(content_hash, embedding_text)``, a request for each hundred texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +59,8 @@ def embed_texts(rows: DataFrame, embedder: Embedder, dims: int, wait: Callable[[
                     try:
                         vectors = embedder(part.column(1).to_pylist())
                         break
-                    except (TimeoutError, ConnectionError):
-                        if n == TRIES - 1:
+                    except Exception as error:
+                        if n == TRIES - 1 or not transient(error):
                             raise
                         wait(WAITS[n])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array([n] + [0] * (part.num_rows - 1), pa.int32()), pa.array([len(v) != dims for v in vectors])], names=["content_hash", "vector", "retries", "bad_dims"])

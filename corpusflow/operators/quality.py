@@ -54,14 +54,25 @@ def unbalanced_tables(html: Column) -> Column:
 
 
 def repeated_trigrams(pages: DataFrame, keys: list[str], text: str = "text", top: int = 3) -> DataFrame:
-    """Three-word phrases that occur at least three times on a page of thirty words, the ``top`` most frequent."""
+    """Three-word phrases that occur at least three times on a page of thirty words, the ``top`` most frequent.
+
+    A page is counted within its row: its phrases are sorted and their runs measured.
+    Pages that ``keys`` do not tell apart are ranked each by itself.  With a column
+    ``table_count``, pages with a table are skipped: cells repeat by nature.
+    """
     plain = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " ")
     words = F.filter(F.split(plain, " "), lambda w: w != "")
-    rows = pages.select(*keys, words.alias("w")).where(F.size("w") >= TRIGRAM_WORDS)
-    grams = rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: F.concat_ws(" ", F.get("w", k), F.get("w", k + 1), F.get("w", k + 2)))).alias("phrase"))
-    counted = grams.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TRIGRAM_REPEATS)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "phrase"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= top)
+    phrases = lambda w: F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))))
+    places = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def runs(s: Column) -> Column:
+        measured = F.transform(F.array(places(s)), lambda p: F.transform(p, lambda at, k: F.struct((at - F.coalesce(F.get(p, k + 1), F.size(s))).alias("less"), F.get(s, at).alias("phrase"))))
+        return F.slice(F.array_sort(F.filter(F.get(measured, 0), lambda r: r["less"] <= -TRIGRAM_REPEATS)), 1, top)
+
+    shown = pages.where(F.coalesce(F.col("table_count") == 0, F.lit(True))) if "table_count" in pages.columns else pages
+    found = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= TRIGRAM_WORDS, F.get(F.transform(F.array(phrases(w)), runs), 0))), 0)
+    rows = shown.select(*keys, F.posexplode(found).alias("k", "run"))
+    return rows.select(*keys, F.col("run.phrase").alias("phrase"), (-F.col("run.less")).cast("long").alias("n"), (F.col("k") + 1).alias("rank"))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,14 +20,14 @@ def words_of(column: str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(column), r"(?U)[^\w]+", " "), " "), lambda w: w != "")
 
 
-def _times(words: str, term: str) -> Column:
+def _times(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str, k: int) -> DataFrame:
-    """``(key, score, rank)`` of the best ``k``; only the query's words are counted, in one pass over the texts."""
-    words = docs.select(key, words_of(text).alias("w"))
-    counted = words.select(key, F.size("w").alias("dl"), *(_times("w", t).alias(f"f{i}") for i, t in enumerate(terms)))
+    """``(key, score, rank)`` of the best ``k``; a text is cut into words once, as a lambda's variable, and only the query's words are counted."""
+    fields = lambda w: F.struct(F.size(w).alias("dl"), *(_times(w, t).alias(f"f{i}") for i, t in enumerate(terms)))
+    counted = docs.select(key, F.explode(F.transform(F.array(words_of(text)), fields)).alias("c")).select(key, "c.*")
     whole = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
     rows = counted.join(F.broadcast(whole))  # one row
     score = sum(

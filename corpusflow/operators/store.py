@@ -1,8 +1,9 @@
 """The chunk index as versioned tables: upsert, orphans, snapshots, restore, state.
 
-A table is a folder of versions and a pointer file that names the current one;
-a version is written whole, then the pointer is replaced, so readers never see
-half a version.
+A table is a folder of versions and of numbered pointer files; the one with the
+highest number names the current version.  A version is written whole, then its
+pointer is made, which fails if another writer has made that number first.  No
+pointer is ever replaced, so there is no moment without a current version.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,13 +73,17 @@ def evicted(cache: DataFrame, live: DataFrame) -> DataFrame:
 
 def restore(snapshot: DataFrame, cache: DataFrame) -> DataFrame:
     """Snapshot rows with their vectors; a missing vector stays null and the row is kept."""
-    vectors = cache.select("content_hash", "vector").dropDuplicates(["content_hash"])
+    vectors = cache.groupBy("content_hash").agg(F.max("vector").alias("vector"))  # the same one at every run
     return snapshot.join(vectors, "content_hash", "left").withColumn("missing", F.col("vector").isNull())
 
 
 # --- Versioned tables
 
 
+def _number(pointer: str) -> int:
+    return int(pointer.removeprefix("current-").removesuffix(".json"))
+
+
 class Table:
     """One versioned table; ``root`` may be on any file system that Spark reads."""
 
@@ -87,16 +93,33 @@ class Table:
         self._path = lambda name: self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def state(self) -> dict | None:
-        """The pointer's content; a missing or damaged one is none."""
+    def _names(self, prefix: str) -> list[str]:
+        """Names in the folder, the newest first; a folder that is not there is empty, any other failure is raised."""
+        root = self._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not self._fs.exists(root):
+            return []
+        return sorted((n for n in (s.getPath().getName() for s in self._fs.listStatus(root)) if n.startswith(prefix)), reverse=True)
+
+    def _content(self, name: str) -> dict | None:
+        """A pointer's content; one that a writer did not finish is none."""
+        stream = self._fs.open(self._path(name))
         try:
-            stream = self._fs.open(self._path("current.json"))
-            try:
-                return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-            finally:
-                stream.close()
-        except Exception:  # Py4J wraps what the file system says
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        except ValueError:
             return None
+        finally:
+            stream.close()
+
+    def state(self) -> dict | None:
+        """Version, schema and number of the current pointer; none only where the table has no finished one."""
+        return self._newest(self._names("current-"))
+
+    def _newest(self, names: list[str]) -> dict | None:
+        for name in names:
+            found = self._content(name)
+            if found is not None:
+                return found | {"number": _number(name)}
+        return None
 
     def ensure(self, schema: StructType) -> None:
         if self.state() is None:
@@ -114,16 +137,22 @@ class Table:
         """Make ``rows`` the current version; with ``expected`` only if that is the current one still, else false."""
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{version}")
-        state = self.state()
-        if expected is not False and (state or {}).get("version") != expected:
-            self._fs.delete(self._path(version), True)
-            return False
-        draft = self._path(f".current-{version}")
-        stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"version": version, "schema": json.loads(rows.schema.json())}).encode()))
-        stream.close()
-        self._fs.delete(self._path("current.json"), False)
-        return bool(self._fs.rename(draft, self._path("current.json")))
+        content = bytearray(json.dumps({"version": version, "schema": json.loads(rows.schema.json())}).encode())
+        while True:
+            names = self._names("current-")
+            if expected is not False and (self._newest(names) or {}).get("version") != expected:
+                self._fs.delete(self._path(version), True)
+                return False
+            number = 1 + max(map(_number, names[:1]), default=0)  # after an unfinished one, too
+            try:
+                stream = self._fs.create(self._path(f"current-{number:012d}.json"), False)
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                    raise
+                continue  # another writer was first: look again
+            stream.write(content)
+            stream.close()
+            return True
 
     def versions(self) -> list[tuple[str, int]]:
         found = [s for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.root)) if s.getPath().getName().startswith("v-")]
@@ -132,6 +161,9 @@ class Table:
     def prune(self, keep: int = KEEP) -> int:
         current = (self.state() or {}).get("version")
         gone = [name for name, _ in self.versions()[keep:] if name != current]
+        for name in self._names("current-")[keep:]:
+            if (self._content(name) or {}).get("version") != current:
+                self._fs.delete(self._path(name), False)
         for name in gone:
             self._fs.delete(self._path(name), True)
         return len(gone)

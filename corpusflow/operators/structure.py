@@ -122,7 +122,7 @@ def bad_tables(items: DataFrame) -> DataFrame:
 def page_quality(words: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
     """Mean confidence of each page with words, and whether it is low."""
     mean = words.groupBy(*keys).agg(F.avg(confidence).alias("confidence"), F.count(F.lit(1)).alias("n_words"))
-    return mean.withColumn("low", F.col("confidence") < LOW_CONFIDENCE)
+    return mean.withColumn("low", F.round("confidence", 9) < LOW_CONFIDENCE)  # to nine places: a sum's order decides no tie
 
 
 def name_collisions(files: DataFrame, name: str = "blob") -> DataFrame:

@@ -69,8 +69,30 @@ def test_table_versions(spark, tmp_path):
     assert table.write(spark.range(9), expected="other") is False and table.read().count() == 4
     assert table.write(spark.range(9), expected=seen) is True and table.read().count() == 9
     assert table.prune() == 3 and table.read().count() == 9
-    (tmp_path / "t" / "current.json").write_text("broken")
-    assert table.state() is None
+    # A writer that dies over its pointer, and one that comes second.
+    number = table.state()["number"]
+    (tmp_path / "t" / f"current-{number + 1:012d}.json").write_text('{"vers')
+    assert table.read().count() == 9 and table.write(spark.range(3)) and table.read().count() == 3
+    for done in (True, False):
+        expected = False if done else table.state()["version"]
+        other = store.Table(spark, str(tmp_path / "t"))
+        stale = iter([other._names("current-")])
+        other._names = lambda prefix, stale=stale, other=other: next(stale, None) or store.Table._names(other, prefix)
+        assert table.write(spark.range(5)) and other.write(spark.range(7), expected=expected) is done
+        assert table.read().count() == (7 if done else 5)
+    # Only what is not there is no state.
+    (tmp_path / "t" / f"current-{table.state()['number'] + 1:012d}.json").mkdir()
+    with pytest.raises(Exception, match="directory|Directory"):
+        table.state()
+
+
+def test_embedding_tries_again_where_it_may_help():
+    class Failed(Exception):
+        def __init__(self, status):
+            self.status = status
+
+    assert all(map(embed.transient, (Failed(429), Failed(503), TimeoutError(), ConnectionResetError())))
+    assert not any(map(embed.transient, (Failed(400), Failed(None), ValueError())))
 
 
 def test_index_run_is_incremental_and_restores(spark, tmp_path):
