@@ -68,14 +68,27 @@ def embed_texts(rows: DataFrame, embedder: Embedder, dims: int, wait: Callable[[
     return rows.select("content_hash", "embedding_text").mapInArrow(run, "content_hash string, vector array<float>, retries int, bad_dims boolean")
 
 
-def embed_missing(chunks: DataFrame, cache: DataFrame, embedder: Embedder, dims: int) -> tuple[DataFrame, DataFrame]:
-    """All chunks with vectors, and the new cache rows (good dimensions only); each missing text is embedded once."""
-    split = split_by_cache(with_hash(chunks), cache, dims)
+def embed_missing(chunks: DataFrame, cache: DataFrame, embedder: Embedder, dims: int, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    """All chunks with vectors and ``cached``, and what was embedded, as from :func:`embed_texts`; each missing text is embedded once.
+
+    ``keep`` holds what was embedded; one that writes it and reads it back saves
+    a lost executor from paying again.
+    """
+    split = split_by_cache(with_hash(chunks), cache, dims).withColumn("cached", F.col("vector").isNotNull())
     missing = split.where("vector is null").dropDuplicates(["content_hash"])
-    fresh = embed_texts(missing, embedder, dims).persist()
+    fresh = keep(embed_texts(missing, embedder, dims))
     got = split.drop("vector").join(cache.where(F.size("vector") == dims).select("content_hash", "vector").unionByName(fresh.select("content_hash", "vector")).dropDuplicates(["content_hash"]), "content_hash", "left")
-    return got, fresh.where(~F.col("bad_dims")).select("content_hash", "vector")
+    return got, fresh
+
+
+def cache_rows(fresh: DataFrame) -> DataFrame:
+    """What the cache takes of new vectors: those of the right size."""
+    return fresh.where(~F.col("bad_dims")).select("content_hash", "vector")
 
 
-def run_totals(embedded: DataFrame) -> DataFrame:
+def run_totals(embedded: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """One row of counts; with ``fresh`` also cache hits, retries and vectors of a wrong size."""
+    if fresh is not None:
+        told = fresh.agg(F.coalesce(F.sum("retries"), F.lit(0)).alias("n_retries"), F.count_if("bad_dims").alias("n_bad_dims"))
+        return run_totals(embedded).join(embedded.agg(F.count_if("cached").alias("n_cached"))).join(told)  # single rows
     return embedded.agg(F.count_if("was_truncated").alias("n_truncated"), F.count_if(F.col("vector").isNotNull()).alias("n_embedded"), F.count(F.lit(1)).alias("n_chunks"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,41 @@ def fuse(lists: list[DataFrame], key: str, k: int) -> DataFrame:
     return ranked(every.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score")), key, k)
 
 
+def rerank(hits: DataFrame, question: str, scorer: Callable[[str, list[str]], list[float]], key: str, text: str, k: int) -> DataFrame:
+    """``(key, score, rank)`` of the best ``k`` of the hits by a model's score of question and text."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(question, batch.column(1).to_pylist()), pa.float64())], names=[key, "score"])
+
+    return ranked(hits.select(key, text).mapInArrow(score, f"{key} {dict(hits.dtypes)[key]}, score double"), key, k)
+
+
+#: Fields of a reference's data, with their types.
+REFERENCE = {
+    "id": "string", "document_id": "string", "page_number": "int", "chunk_index": "int", "title": "string", "summary": "string", "content": "string", "quick_code": "string", "relative_path": "string",
+    "register_document_id": "string", "register_version": "string", "register_status": "string", "register_url": "string", "page_count": "int", "created_at": "timestamp", "mod_date": "timestamp",
+}
+
+
+def map_references(references: DataFrame, column: str = "source_data") -> DataFrame:
+    """Hits from references' JSON; one without content is none.
+
+    Ids that are missing are empty and places zero; other fields that are
+    missing, or not of their type, are null.
+    """
+    data = F.from_json(column, ", ".join(f"{c} {'string' if t == 'timestamp' else t}" for c, t in REFERENCE.items()))
+    defaults = {"id": "", "document_id": "", "page_number": 0, "chunk_index": 0}
+    others = [c for c in references.columns if c != column and c not in REFERENCE]
+    fields = [F.coalesce(F.col("_d")[c], F.lit(defaults[c])).alias(c) if c in defaults else F.col("_d")[c].try_cast(t).alias(c) for c, t in REFERENCE.items()]
+    return references.withColumn("_d", data).where(~blank(F.col("_d.content"))).select(*others, *fields)
+
+
+def context_text(title: Column, summary: Column, content: Column) -> Column:
+    """The content under its title, and summary if there is one, in brackets; without a title the content alone."""
+    head = F.when(blank(summary), title).otherwise(F.concat(title, F.lit("\n"), summary))
+    return F.when(title.isNull(), content).otherwise(F.concat(F.lit("["), head, F.lit("]\n"), content))
+
+
 def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks of the pages beside the hits' pages that no hit is on: an equi-join on exploded page numbers.
 
@@ -84,11 +119,13 @@ def context(hits: DataFrame, beside: DataFrame, most: int = CONTEXT_CHARS) -> Da
     """Hits (with ``rank``) and neighbours in reading order, until the first that would exceed ``most`` characters.
 
     Documents are in order of their best hit; a hit wins over a neighbour with its id; blank contents are left out.
+    What counts is ``text``: the content, under title and summary where the hits have them.
     """
     both = hits.unionByName(beside.join(hits.select("id"), "id", "left_anti").select(*(c for c in hits.columns if c != "rank")).withColumn("rank", F.lit(None).cast("int")))
-    placed = both.where(~blank(F.col("content"))).withColumn("doc_rank", F.coalesce(F.min("rank").over(Window.partitionBy("document_id")), F.lit(2**31 - 1)))
+    text = context_text(F.col("title"), F.col("summary"), F.col("content")) if {"title", "summary"} <= set(hits.columns) else F.col("content")
+    placed = both.where(~blank(F.col("content"))).withColumn("text", text).withColumn("doc_rank", F.coalesce(F.min("rank").over(Window.partitionBy("document_id")), F.lit(2**31 - 1)))
     order = Window.orderBy("doc_rank", "document_id", "page_number", "chunk_index", "id")  # the few rows of one question
-    running = F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumns({"running": running, "place": F.row_number().over(order)}).where(F.col("running") <= most)
 
 

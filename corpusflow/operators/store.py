@@ -154,6 +154,10 @@ class Table:
             stream.close()
             return True
 
+    def drop(self) -> None:
+        """The table and all its versions go: what one stage handed to the next has been read."""
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
     def versions(self) -> list[tuple[str, int]]:
         found = [s for s in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.root)) if s.getPath().getName().startswith("v-")]
         return sorted(((s.getPath().getName(), s.getModificationTime()) for s in found), key=lambda v: -v[1])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import scalar
 from .quality import LOW_CONFIDENCE
@@ -23,6 +26,9 @@ LAYOUT = (
 #: Roles of paragraphs.
 HEADING_ROLES, BOILERPLATE_ROLES = ("title", "sectionHeading"), ("pageHeader", "pageFooter", "footnote", "pageNumber")
 
+#: Seconds between asking for an analysis, and after each answer that the service is busy.
+POLL, BACKOFF = 2, (2, 5, 13, 34)
+
 
 def breadcrumb_paths(outline: DataFrame, doc: str = "doc") -> DataFrame:
     """``(doc, ord, page, path)``: for each resolvable entry of ``outline(doc, ord, title, level, page)`` the titles above it and its own.
@@ -119,6 +125,21 @@ def bad_tables(items: DataFrame) -> DataFrame:
     return items.where("kind = 'table' and (n_rows <= 0 or n_columns <= 0 or n_cells = 0)")
 
 
+def structure_warnings(parsed: DataFrame, per_page: str = "0.01") -> DataFrame:
+    """Per analysed file: figures without a caption, malformed tables, and what its pages cost."""
+    size = lambda x: F.coalesce(F.size(x), F.lit(0))
+    plain = size(F.filter("a.figures", lambda f: f["caption"].isNull()))
+    broken = size(F.filter("a.tables", lambda t: (F.coalesce(t["rowCount"], F.lit(0)) <= 0) | (F.coalesce(t["columnCount"], F.lit(0)) <= 0) | (size(t["cells"]) == 0)))
+    pages = F.size("a.pages")
+    cost = (pages.cast("decimal(12,0)") * F.lit(per_page).cast("decimal(6,4)")).cast("decimal(18,2)")
+    told = F.array_compact(F.array(
+        F.when(plain > 0, F.concat(plain.cast("string"), F.lit(" of "), size("a.figures").cast("string"), F.lit(" figure(s) without caption"))),
+        F.when(broken > 0, F.concat(broken.cast("string"), F.lit(" of "), size("a.tables").cast("string"), F.lit(" table(s) malformed"))),
+        F.concat(F.lit("estimated cost $"), cost.cast("string"), F.lit(" for "), pages.cast("string"), F.lit(" page(s)")),
+    ))
+    return parsed.where("ok").select(F.col("blob").alias("document_id"), F.explode(told).alias("message"), F.lit("structure").alias("reason"))
+
+
 def page_quality(words: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
     """Mean confidence of each page with words, and whether it is low."""
     mean = words.groupBy(*keys).agg(F.avg(confidence).alias("confidence"), F.count(F.lit(1)).alias("n_words"))
@@ -147,17 +168,45 @@ def red_flags(files: DataFrame, **flags: Column) -> DataFrame:
     return files.withColumn("red_flags", F.array_compact(F.array(*(F.when(c, F.lit(t.replace("_", " "))) for t, c in flags.items()))))
 
 
-def backend(extract) -> object:
-    """A file extractor ``(blob, bytes) -> analysis JSON`` as a column function; a failure gives null."""
-    @F.pandas_udf(StringType())
-    def run(blob: pd.Series, content: pd.Series) -> pd.Series:
-        def one(name: str, data: bytes) -> str | None:
+def backend(extract: Callable[[str, bytes], str]) -> object:
+    """A file extractor ``(blob, bytes) -> analysis JSON`` as a column function: ``(layout, error)``, of which one is null."""
+    @F.pandas_udf("layout string, error string")
+    def run(blob: pd.Series, content: pd.Series) -> pd.DataFrame:
+        def one(name: str, data: bytes) -> tuple[str | None, str | None]:
             try:
-                return extract(name, data)
-            except Exception:  # one file's failure is its own row's
-                return None
+                return extract(name, data), None
+            except Exception as error:  # one file's failure is its own row's
+                return None, f"{type(error).__name__}: {error}"
 
-        return pd.Series([one(b, c) for b, c in zip(blob, content, strict=True)])
+        return pd.DataFrame([one(b, c) for b, c in zip(blob, content, strict=True)], columns=["layout", "error"])
 
     return run
 
+
+class LayoutClient(Protocol):
+    """A service that analyses files; a failed call's exception has its ``status``."""
+
+    def submit(self, blob: str, content: bytes) -> object: ...
+
+    def poll(self, job: object) -> str | None:
+        """The analysis, or none while it is not ready."""
+
+
+def service(client: LayoutClient, wait: Callable[[float], None] = time.sleep) -> Callable[[str, bytes], str]:
+    """An extractor over a service: a file is submitted once, as that is paid for; only asking is tried again."""
+    def extract(blob: str, content: bytes) -> str:
+        job, busy = client.submit(blob, content), 0
+        while True:
+            try:
+                found = client.poll(job)
+            except Exception as error:
+                if getattr(error, "status", None) != 429 or busy == len(BACKOFF):
+                    raise
+                wait(BACKOFF[busy])
+                busy += 1
+                continue
+            if found is not None:
+                return found
+            wait(POLL)
+
+    return extract

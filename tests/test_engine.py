@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import chunk, diff, embed, evaluate, pages, retrieve, store, structure
+from corpusflow.operators import chunk, diff, embed, evaluate, pages, retrieve, store, structure, validate
 from corpusflow.plans.pipelines import GateError, IndexTables, ask, index_export, index_files, restore_index
 from corpusflow.session import Config
 from corpusflow.sources import csv_export, files
@@ -87,10 +87,6 @@ def test_table_versions(spark, tmp_path):
 
 
 def test_embedding_tries_again_where_it_may_help():
-    class Failed(Exception):
-        def __init__(self, status):
-            self.status = status
-
     assert all(map(embed.transient, (Failed(429), Failed(503), TimeoutError(), ConnectionResetError())))
     assert not any(map(embed.transient, (Failed(400), Failed(None), ValueError())))
 
@@ -105,7 +101,14 @@ def test_index_run_is_incremental_and_restores(spark, tmp_path):
     assert (first["docs_new"], first["chunks_written"], first["problems"]) == (2, 3, [])
     again = index_export(spark, *export(tmp_path, docs), tables, embedder, 16)
     assert (again["docs_skipped"], again["chunks_written"]) == (2, 0) and tables.chunks.read().count() == 3
-    third = index_export(spark, *export(tmp_path, [("doc1", 0, "cherries")], "20240102120000"), tables, embedder, 16)
+    fewer = export(tmp_path, [("doc1", 0, "cherries")], "20240102120000")
+    with pytest.raises(GateError, match="magnitude"):  # a third of the last run's records
+        index_export(spark, *fewer, tables, embedder, 16)
+    third = index_export(spark, *fewer, tables, embedder, 16, override=True)
+    assert third["red_flags"][-1] == "index drift -66.7% (3 -> 1)" and third["magnitude_flag"] and third["passed"]
+    assert tables.cache.read().count() == 1 and not list((tmp_path / "index" / "handed").iterdir())
+    told = spark.read.parquet(str(tmp_path / "index" / "archive" / "embedding"))
+    assert told.where("n_chunks = 3").count() == 1 and told.count() == 3
     assert (third["docs_updated"], third["docs_removed"]) == (1, 1)
     rows = tables.chunks.read().collect()
     assert len(rows) == 1 and "cherries" in rows[0]["content"] and len(rows[0]["vector"]) == 16
@@ -118,6 +121,95 @@ def test_index_run_is_incremental_and_restores(spark, tmp_path):
     assert counted(["x"]) and calls == [1]
 
 
+def test_run_report(spark, tmp_path):
+    rows = [("good", 0, "Text of a page", "nl-NL"), ("good", 1, "# Head\nlost � character", "nl"), ("good", 1, "again", "nl"), ("none", 0, "x", "en-US"), ("idle", 0, "x", ""), ("good", 2, " ", "de-DE")]
+    pages_path = write(tmp_path / "p.csv", PAGES + "".join(f'{d},T,Q,F,20240101120000,{p},"{t}",r,{lang}\n' for d, p, t, lang in rows) + ",T,Q,F,20240101120000,0,x,r,nl\n")
+    index_path = write(tmp_path / "i.csv", INDEX + 'good,P,S,7,0,20240101,"[""check_date_exceeded""]",true\ngood,P,S,7,0,20240101,[],true\nidle,P,S,7,0,20240101,[],false\nunpaged,P,S,7,0,20240101,[],true\n')
+    tables = IndexTables(spark, str(tmp_path / "index"))
+    with pytest.raises(GateError) as stopped:
+        index_export(spark, pages_path, index_path, tables, embed.hashing_embedder(8), 8, environment="Development", run_id="r1")
+    told = stopped.value.report
+    assert [told[k] for k in ("parsed", "index_rows", "joined", "missing_pages", "inactive_pages", "records", "duplicates", "attempted")] == [6, 4, 4, 1, 1, 3, 1, 11]
+    assert (told["n_errors"], told["n_warnings"], told["stale_docs"], told["unpaged_docs"], told["problems"]) == (3, 6, 1, 1, [])
+    assert told["red_flags"] == ["1 index document(s) without pages", "1 document(s) past their check date"]
+    issues = spark.read.parquet(str(tmp_path / "index" / "archive" / "extraction"))
+    found = sorted((r["stage"], r["severity"], r["document_id"], r["reason"]) for r in issues.collect())
+    assert found == [
+        ("Clean", "Warning", "good", "blank"), ("Clean", "Warning", "good", "duplicate"), ("Join", "Error", "none", "missing"), ("Join", "Warning", "good", "duplicate"), ("Join", "Warning", "idle", "inactive"),
+        ("Join", "Warning", "unpaged", "unpaged"), ("Parse:Pages", "Error", "", "parse"), ("TextQuality", "Error", "good", "damage"), ("TextQuality", "Warning", "good", "language"),
+    ]
+    assert tables.chunks.read() is None and tables.statistics.read() is None
+
+
+def test_file_issues(spark):
+    said = "the same three words " * 10
+    doc = {
+        "content": said, "pages": [{"pageNumber": n, "spans": [{"offset": 0, "length": len(said)}]} for n in (1, 2)], "warnings": [{"code": "C", "message": "m"}],
+        "tables": [{"rowCount": 1, "columnCount": 1, "cells": [], "boundingRegions": [{"pageNumber": 2}]}], "figures": [{"boundingRegions": []}, {"caption": {"content": "c"}}],
+    }
+    parsed = structure.read_layout(spark.createDataFrame([("a.pdf", json.dumps(doc)), ("A.PDF", json.dumps(doc | {"content": "�", "tables": []})), ("bad", "{}")], "blob string, layout string"))
+    tables = structure.page_context(structure.layout_items(parsed)).select("blob", "page", "table_count")
+    cleaned = structure.layout_pages(parsed).join(tables, ["blob", "page"], "left").fillna(0, ["table_count"])
+    issues = validate.files_issues(parsed, cleaned)
+    found = sorted((r["document_id"], r["severity"], r["reason"], r["message"]) for r in issues.where("reason <> 'analysis'").collect())
+    assert found == [
+        ("A.PDF", "Error", "damage", "Page 1: 1 replacement character(s), 1 control or unassigned character(s)"), ("A.PDF", "Error", "damage", "Page 2: 1 replacement character(s), 1 control or unassigned character(s)"),
+        ("A.PDF", "Warning", "structure", "1 of 2 figure(s) without caption"), ("A.PDF", "Warning", "structure", "estimated cost $0.02 for 2 page(s)"),
+        ("a.pdf", "Warning", "phrases", "Page 1: repeated same three words (10x), the same three (10x), three words the (9x)"),
+        ("a.pdf", "Warning", "structure", "1 of 1 table(s) malformed"), ("a.pdf", "Warning", "structure", "1 of 2 figure(s) without caption"), ("a.pdf", "Warning", "structure", "estimated cost $0.02 for 2 page(s)"),
+        ("a.pdf", "Warning", "table", "Page 2: a table without rows, columns or cells"), ("bad", "Error", "parse", "the analysis has no markdown pages"),
+    ]
+    told = validate.files_report(issues, parsed, cleaned, previous=100).first()
+    assert (told["problems"], told["attempted"], told["magnitude_flag"], told["passed"], told["n_errors"]) == (["1 name(s) differ in case only"], 5, True, False, 3)
+
+
+class Failed(Exception):
+    def __init__(self, status, retry_after=None):
+        self.status, self.retry_after = status, retry_after
+
+
+def test_layout_service(spark):
+    class Client:
+        def __init__(self, answers):
+            self.answers, self.submitted = iter(answers), 0
+
+        def submit(self, blob, content):
+            self.submitted += 1
+            return blob
+
+        def poll(self, job):
+            answer = next(self.answers)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+    waits = []
+    client = Client([None, Failed(429), Failed(429), None, "done"])
+    assert structure.service(client, waits.append)("a", b"x") == "done" and client.submitted == 1 and waits == [2, 2, 5, 2]
+    for failures in ([Failed(500)], [Failed(429)] * 5):
+        with pytest.raises(Failed):
+            structure.service(Client(failures), waits.append)("a", b"x")
+
+    def extract(blob, content):
+        return content.decode() if blob != "bad" else 1 / 0
+
+    rows = spark.createDataFrame([("a", bytearray(b"{}")), ("bad", bytearray(b"{}"))], "blob string, content binary")
+    found = rows.select("blob", structure.backend(extract)("blob", "content").alias("r")).select("blob", "r.*").orderBy("blob").collect()
+    assert [(r["layout"], r["error"]) for r in found] == [("{}", None), (None, "ZeroDivisionError: division by zero")]
+
+
+def test_references_and_ranking(spark):
+    rows = [json.dumps(r) for r in ({"id": "i", "document_id": "d", "page_number": 3, "title": "T", "content": "c", "page_count": 9, "created_at": "2024-01-02T03:04:05Z"}, {"content": "only", "page_number": None}, {"content": " "}, {"id": "x"})]
+    found = retrieve.map_references(spark.createDataFrame([(r,) for r in [*rows, None]], "source_data string")).orderBy("id").collect()
+    assert [(r["id"], r["document_id"], r["page_number"], r["chunk_index"], r["title"], r["page_count"]) for r in found] == [("", "", 0, 0, None, None), ("i", "d", 3, 0, "T", 9)]
+    assert found[1]["created_at"].hour == 3 and found[0]["created_at"] is None
+    told = spark.createDataFrame([("T", "S", "c"), ("T", " ", "c"), ("T", None, "c"), (None, "S", "c")], "t string, s string, c string").select(retrieve.context_text(F.col("t"), F.col("s"), F.col("c")).alias("x"))
+    assert [r["x"] for r in told.collect()] == ["[T\nS]\nc", "[T]\nc", "[T]\nc", "c"]
+    hits = spark.createDataFrame([("a", "x"), ("b", "xxx"), ("c", "xx")], "id string, content string")
+    best = retrieve.rerank(hits, "q", lambda q, texts: [float(len(t)) for t in texts], "id", "content", 2)
+    assert [(r["id"], r["rank"]) for r in best.orderBy("rank").collect()] == [("b", 1), ("c", 2)]
+
+
 def test_gate_stops_a_bad_run(spark, tmp_path):
     pages_path, index_path = export(tmp_path, [("doc1", 0, "x")])
     with open(pages_path, "a", encoding="utf-8") as f:
@@ -142,7 +234,10 @@ def test_files_run_diffs_first(spark, tmp_path):
     assert (first["docs_new"], first["chunks_written"]) == (2, 2)
     row = tables.chunks.read().where("document_id = 'my-a.pdf'").first()
     assert (row["content"], row["table_count"], row["has_table"], len(row["vector"])) == ("my a\n\nHead\n\nText of a.", 1, True, 8)
-    second = index_files(spark, *state([("my-a.pdf", 2, "Other text."), ("b.pdf", 2, "")]), tables, embedder, 8)
+    with pytest.raises(GateError):
+        index_files(spark, *state([("my-a.pdf", 2, "Other text."), ("b.pdf", 2, "")]), tables, embedder, 8)
+    second = index_files(spark, *state([("my-a.pdf", 2, "Other text."), ("b.pdf", 2, "")]), tables, embedder, 8, environment="Development")
+    assert second["n_errors"] == 1 and len(list((tmp_path / "files" / "reports").iterdir())) == 1
     assert (second["docs_updated"], second["files_failed"], second["chunks_written"]) == (2, 1, 1)
     kept = {r["document_id"]: r["content"] for r in tables.chunks.read().collect()}
     assert "Other text." in kept["my-a.pdf"] and "Text of b." in kept["b.pdf"]  # a failed file keeps its chunks
@@ -202,6 +297,17 @@ def test_layout(spark):
 def test_evaluation(spark):
     rows = spark.createDataFrame([(1, "a b b", "b b c"), (2, "", "x"), (3, None, None)], "k long, a string, e string")
     assert [(r["k"], round(r["f1"], 4)) for r in evaluate.token_f1(rows, "k", "a", "e").orderBy("k").collect()] == [(1, 0.6667), (2, 0.0), (3, 0.0)]
+    able = rows.withColumn("able", F.col("k") == 2)
+    assert sorted(tuple(r) for r in evaluate.token_f1(able, "k", "a", "e", "able").collect()) == [(1, -1.0), (2, 0.0), (3, -1.0)]
+    waits, answers = [], [Failed(429), Failed(429, 1.5), {"x": 1.0}]
+
+    def busy(*_):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert evaluate._ask(busy, ("q",), waits.append) == {"x": 1.0} and waits == [4, 1.5]
     asked = spark.createDataFrame([("q", "a", "c"), ("bad", "a", "c")], "query string, answer string, context string")
 
     def judge(q, a, c):
