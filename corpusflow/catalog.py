@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cleaning, scalar
-from .operators import chunk, diff, embed, evaluate, pages, projections, quality, report, retrieve, store, structure
+from .operators import chunk, diff, embed, evaluate, pages, projections, quality, report, retrieve, store, structure, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,6 +493,21 @@ def embed_run(spark: SparkSession, d: str) -> DataFrame:
     return embed.run_totals(rows)
 
 
+@query("""
+    with t as (select text, upper(sha256(text)) as h from documents), cache as (select distinct upper(sha256(text)) as h from documents where doc_id % 2 = 0 and doc_id in (select vec_id from embeddings)),
+    f as (select distinct text from t where h not in (select h from cache))
+    select count(*) as n_chunks, count(*) filter (where length(text) > 24000) as n_truncated, count(*) as n_embedded, count(*) filter (where h in (select h from cache)) as n_cached,
+           0 as n_retries, (select count(*) from f where left(text, 1) between 'A' and 'M') as n_bad_dims from t""")
+def embed_totals(spark: SparkSession, d: str) -> DataFrame:
+    good = embed.hashing_embedder(64)
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [v[:63] if "A" <= t[:1] <= "M" else v for t, v in zip(texts, good(texts), strict=True)]
+
+    rows, fresh = embed.embed_missing(_t(spark, d, "documents").select("doc_id", F.col("text").alias("content")), _cache(spark, d), embedder, 64)
+    return embed.run_totals(rows, fresh)
+
+
 # --- Index maintenance (SNK1-SNK3, IX1-IX5, JN11, JN15, ST4, WN8)
 
 
@@ -619,6 +634,22 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.citations(_hits(spark, d)).select("document_id", "id", "rank")
 
 
+@query("""
+    select conv_id, turn, case when turn % 3 = 0 then '' else 'c' || conv_id end as id, case when turn % 2 = 0 then 0 else turn end as page_number, case when conv_id % 4 = 0 then null else conv_id end as page_count, text as content,
+           case when turn % 5 = 0 then null else timestamp '2024-01-02 03:04:05' end as created_at from conversations where text ~ '\\S'""")
+def reference_mapping(spark: SparkSession, d: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    data = F.struct(F.when(t % 3 != 0, F.concat(F.lit("c"), c)).alias("id"), F.when(t % 2 != 0, t).alias("page_number"), F.when(c % 4 != 0, c).alias("page_count"), F.col("text").alias("content"), F.when(t % 5 != 0, F.lit("2024-01-02T03:04:05Z")).alias("created_at"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.to_json(data).alias("source_data"))
+    return retrieve.map_references(rows).select("conv_id", "turn", "id", "page_number", "page_count", "content", "created_at")
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then text when doc_id % 2 = 0 then '[' || source || chr(10) || lang || ']' || chr(10) || text else '[' || source || ']' || chr(10) || text end as told from documents""")
+def context_text(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    return _t(spark, d, "documents").select("doc_id", retrieve.context_text(F.when(k % 3 != 0, F.col("source")), F.when(k % 2 == 0, F.col("lang")).otherwise(" "), F.col("text")).alias("told"))
+
+
 @query("select sum(coalesce(case when event_id % 3 <> 0 then event_id end, 0)) as input_tokens, sum(user_id) as output_tokens from events where event_type in ('click', 'view')")
 def token_totals(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "planning").when(F.col("event_type") == "view", "synthesis").otherwise("other")
@@ -675,27 +706,61 @@ def name_collisions(spark: SparkSession, d: str) -> DataFrame:
     return structure.name_collisions(_t(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("blob")))
 
 
-@query("select doc_id as blob, 1 as page, text as content, 2 as n_words, 0.75 as confidence from documents where text <> ''")
+@query("select doc_id as blob, 1 as page, text as content, 2 as n_words, 0.75 as confidence from documents")
 def layout_pages(spark: SparkSession, d: str) -> DataFrame:
     page = F.struct(F.lit(1).alias("pageNumber"), F.array(*(F.struct(F.lit("w").alias("content"), F.lit(c).alias("confidence")) for c in (0.5, 1.0))).alias("words"), F.array(F.struct(F.lit(0).alias("offset"), F.length("text").alias("length"))).alias("spans"))
-    files = _t(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("blob"), F.to_json(F.struct(F.col("text").alias("content"), F.array(page).alias("pages"))).alias("layout"))
+    files = _t(spark, d, "documents").select(F.col("doc_id").alias("blob"), F.to_json(F.struct(F.col("text").alias("content"), F.array(page).alias("pages"))).alias("layout"))
     return structure.layout_pages(structure.read_layout(files)).select("blob", "page", "content", "n_words", "confidence")
 
 
+@query("""
+    with f as (select l_orderkey as blob, count(*) as n, count(*) filter (where l_returnflag = 'A') as bad, count(*) filter (where l_linestatus = 'F') as plain from lineitem group by 1)
+    select blob as document_id, unnest(list_filter([case when plain > 0 then plain || ' of ' || n || ' figure(s) without caption' end, case when bad > 0 then bad || ' of ' || n || ' table(s) malformed' end,
+        'estimated cost $' || (n // 100) || '.' || lpad(cast(n % 100 as varchar), 2, '0') || ' for ' || n || ' page(s)'], lambda x: x is not null)) as message from f""")
+def structure_warnings(spark: SparkSession, d: str) -> DataFrame:
+    broken = F.col("l_returnflag") == "A"
+    table = F.struct(F.when(~broken, 1).otherwise(0).alias("rowCount"), F.lit(2).alias("columnCount"), F.array(F.struct(F.lit("x").alias("content"))).alias("cells"))
+    figure = F.struct(F.when(F.col("l_linestatus") != "F", F.struct(F.lit("c").alias("content"))).alias("caption"))
+    lists = [F.collect_list(x).alias(n) for x, n in ((F.struct(F.col("l_linenumber").alias("pageNumber")), "pages"), (table, "tables"), (figure, "figures"))]
+    files = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("blob")).agg(*lists).select("blob", F.to_json(F.struct("pages", "tables", "figures")).alias("layout"))
+    return structure.structure_warnings(structure.read_layout(files)).select("document_id", "message")
+
+
+@query("""
+    with p as (select doc_id, lang, text, doc_id % 50 = 0 as bad from documents), j as (select p.*, l.doc_id is not null as known, toxic from p left join labels l using (doc_id) where not bad),
+    c as (select *, case when doc_id % 7 = 0 then 'error' when doc_id % 11 = 0 then 'duplicate' else 'record' end as outcome from j where known and toxic = 0), r as (select * from c where outcome = 'record'),
+    i as (select 'Parse:Pages' as stage, 'Error' as severity, 'parse' as reason, count(*) as n from p where bad union all select 'Join', 'Error', 'missing', count(*) from j where not known
+      union all select 'Join', 'Warning', 'inactive', count(*) from j where known and toxic <> 0 union all select 'Join', 'Warning', 'unpaged', count(*) from labels where doc_id not in (select doc_id from p where not bad)
+      union all select 'Clean', 'Error', 'value', count(*) from c where outcome = 'error' union all select 'Clean', 'Warning', 'duplicate', count(*) from c where outcome = 'duplicate'
+      union all select 'Clean', 'Warning', 'blank', count(*) from r where doc_id % 13 = 0 union all select 'TextQuality', 'Error', 'damage', count(*) from r where doc_id % 5 = 0
+      union all select 'TextQuality', 'Warning', 'language', count(*) from r where trim(lang) <> '' and lower(lang) not like 'nl%')
+    select * from i where n > 0""")
+def run_issues(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("row_no")
+    parsed = _t(spark, d, "documents").select(F.concat(F.lit("Doc"), "doc_id").alias("document_id"), F.lit(0).alias("page_index"), F.col("doc_id").alias("row_no"), F.when(F.col("doc_id") % 50 == 0, "bad").alias("error"), F.col("lang").alias("language"))
+    index = _t(spark, d, "labels").select(F.concat(F.lit("DOC"), "doc_id").alias("document_id"), (F.col("toxic") == 0).alias("active"), F.col("doc_id").alias("row_no"), F.lit(None).cast("string").alias("error"))
+    joined = pages.join_pages(parsed.where("error is null"), index.drop("error"))
+    outcome = F.when(k % 7 == 0, "error").when(k % 11 == 0, "duplicate").otherwise("record")
+    cleaned = joined.where("status = 'joined'").select("document_id", "page_index", "language", outcome.alias("outcome"), F.lit("date").alias("reason"), F.when((outcome == "record") & (k % 13 == 0), "blank").alias("warning"), F.when(k % 5 == 0, "a�b").otherwise("ab").alias("content"))
+    return validate.export_issues(parsed, index, joined, cleaned).groupBy("stage", "severity", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- Evaluation and reports (EV1-EV5, AG20, AG22)
 
 
 @query("""
-    with p as (select u.conv_id, u.text as answer, a.text as expected from conversations u join conversations a on a.conv_id = u.conv_id and u.turn = 0 and a.turn = 1),
-    x as (select conv_id, unnest(list_filter(string_split(regexp_replace(lower(answer), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'), ' '), lambda z: z <> '')) as w from p),
-    y as (select conv_id, unnest(list_filter(string_split(regexp_replace(lower(expected), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'), ' '), lambda z: z <> '')) as w from p),
-    xc as (select conv_id, w, count(*) as n from x group by all), yc as (select conv_id, w, count(*) as n from y group by all),
-    s as (select conv_id, sum(least(xc.n, yc.n)) as s from xc join yc using (conv_id, w) group by 1)
-    select conv_id, round(coalesce(2.0 * s / ((select count(*) from x where x.conv_id = p.conv_id) + (select count(*) from y where y.conv_id = p.conv_id)), 0), 9) as f1 from p left join s using (conv_id)""")
+    with p as (select u.conv_id || '-' || u.turn as id, u.conv_id % 5 <> 0 as able, u.text as answer, a.text as expected from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.turn % 2 = 0),
+    x as (select id, unnest(list_filter(string_split(regexp_replace(lower(answer), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'), ' '), lambda z: z <> '')) as w from p),
+    y as (select id, unnest(list_filter(string_split(regexp_replace(lower(expected), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'), ' '), lambda z: z <> '')) as w from p),
+    xc as (select id, w, count(*) as n from x group by all), yc as (select id, w, count(*) as n from y group by all),
+    xn as (select id, sum(n) as n from xc group by 1), yn as (select id, sum(n) as n from yc group by 1), s as (select id, sum(least(xc.n, yc.n)) as s from xc join yc using (id, w) group by 1)
+    select p.id, case when able then round(coalesce(2.0 * s / (xn.n + yn.n), 0), 9) else -1.0 end as f1 from p left join s on s.id = p.id left join xn on xn.id = p.id left join yn on yn.id = p.id""")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "conversations")
-    sides = [rows.where(f"turn = {k}").select("conv_id", F.col("text").alias(n)) for k, n in ((0, "answer"), (1, "expected"))]
-    return evaluate.token_f1(sides[0].join(sides[1], "conv_id"), "conv_id", "answer", "expected").withColumn("f1", F.round("f1", 9))
+    asked = rows.where("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("answer"))
+    pairs = asked.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("expected")), ["conv_id", "turn"])
+    pairs = pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") % 5 != 0).alias("able"), "answer", "expected")
+    return evaluate.token_f1(pairs, "id", "answer", "expected", "able").withColumn("f1", F.round("f1", 9))
 
 
 @query("""select conv_id, case when conv_id % 3 = 0 then -1.0 when conv_id % 3 = 1 then 1.0 else 0.5 end as citation_match from conversations where turn = 0""")
