@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .common import SLICE_BYTES, discard, flat_bytes, materialize, shuffle_partitions, text_slices
-from .suffix import common_prefixes, suffix_array
+from .suffix import common_prefixes, place_type, suffix_array
 
 GRAM = 32
 #: Text bytes whose anchors a task combines before they are shuffled.
@@ -206,11 +206,12 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, le
     inside = np.ones(len(symbols), bool)
     inside[ends] = False
     symbols[inside] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
-    owner = np.searchsorted(ends, np.arange(len(symbols)))
-    left = ends[owner] - np.arange(len(symbols))
+    kind = place_type(len(symbols))
+    owner = np.repeat(np.arange(len(pieces), dtype=kind), sizes + 1)
+    left = np.repeat(ends.astype(kind), sizes + 1) - np.arange(len(symbols), dtype=kind)
     order = suffix_array(symbols)
     reach = common_prefixes(symbols, order, left)[order] >= length
-    run = np.cumsum(~reach)
+    run = np.cumsum(~reach, dtype=kind)
     tied = reach.copy()
     tied[:-1] |= reach[1:]
     place, run = order[tied], run[tied]

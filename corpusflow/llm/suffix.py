@@ -11,6 +11,11 @@ from __future__ import annotations
 import numpy as np
 
 
+def place_type(n: int) -> type:
+    """The smaller integers that hold places (and sums of two) of ``n`` symbols: arrays of places are most of the memory."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S-type); ``s`` ends with its unique least symbol."""
     n = len(s)
@@ -18,7 +23,7 @@ def _types(s: np.ndarray) -> np.ndarray:
     rising[:-1] = s[:-1] < s[1:]
     rising[-1] = True
     changes = np.flatnonzero(np.append(s[:-1] != s[1:], True))
-    return rising[changes[np.searchsorted(changes, np.arange(n))]]
+    return np.repeat(rising[changes], np.diff(changes, prepend=-1))
 
 
 def _deal(items: np.ndarray, symbols: np.ndarray, pending: list[list[np.ndarray]]) -> None:
@@ -32,7 +37,7 @@ def _deal(items: np.ndarray, symbols: np.ndarray, pending: list[list[np.ndarray]
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def _induce_buckets(s: np.ndarray, rising: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
@@ -60,7 +65,7 @@ def _induce_buckets(s: np.ndarray, rising: np.ndarray, leftmost: np.ndarray, sig
     for c in range(sigma - 1, -1, -1):
         done, front = [], _joined(pending[c])
         if c == 0:
-            front = np.array([len(s) - 1])
+            front = np.array([len(s) - 1], leftmost.dtype)
         while front.size:
             done.append(front)
             before = front[front > 0] - 1
@@ -112,24 +117,24 @@ def _induce_singly(s: list[int], rising: list[bool], leftmost: list[int], sigma:
 def _induce(s: np.ndarray, rising: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
     if sigma * 64 <= len(s) or sigma <= 300 < len(s):
         return _induce_buckets(s, rising, leftmost, sigma)
-    return np.array(_induce_singly(s.tolist(), rising.tolist(), leftmost.tolist(), sigma))
+    return np.array(_induce_singly(s.tolist(), rising.tolist(), leftmost.tolist(), sigma), leftmost.dtype)
 
 
 def _names(s: np.ndarray, places: np.ndarray, by_order: np.ndarray) -> tuple[np.ndarray, int]:
     """A name for each leftmost-smaller substring, by rank; equal ones (neighbours in ``by_order``, compared symbol by symbol) share it."""
-    sizes = np.zeros(len(s), np.int64)
+    sizes = np.zeros(len(s), places.dtype)
     sizes[places] = np.append(places[1:] + 1, len(s)) - places
     one, other = by_order[:-1], by_order[1:]
     differ = sizes[one] != sizes[other]
     alike = np.flatnonzero(~differ)
     lengths = sizes[one[alike]]
     ends = np.cumsum(lengths)
-    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    within = np.arange(ends[-1] if len(ends) else 0, dtype=places.dtype) - np.repeat((ends - lengths).astype(places.dtype), lengths)
     unequal = s[np.repeat(one[alike], lengths) + within] != s[np.repeat(other[alike], lengths) + within]
     if len(alike):
         differ[alike] = np.logical_or.reduceat(unequal, ends - lengths)
     rank = np.cumsum(np.append(False, differ))
-    names = np.zeros(len(s), np.int64)
+    names = np.zeros(len(s), places.dtype)
     names[by_order] = rank
     return names[places], int(rank[-1]) + 1
 
@@ -140,10 +145,11 @@ def _sorted_suffixes(s: np.ndarray, sigma: int) -> np.ndarray:
     is_leftmost = rising.copy()
     is_leftmost[0] = False
     is_leftmost[1:] &= ~rising[:-1]
-    places = np.flatnonzero(is_leftmost)
+    places = np.flatnonzero(is_leftmost).astype(place_type(len(s)))
     if len(places) > 1:
         order = _induce(s, rising, places, sigma)
         by_order = order[is_leftmost[order]]
+        del order
         names, kinds = _names(s, places, by_order)
         if kinds < len(places):
             by_order = places[_sorted_suffixes(names, kinds)]
@@ -171,24 +177,23 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, left: np.ndarray) ->
     others are one less than that of the place before.
     """
     n = len(symbols)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    own, other = np.arange(n), before
-    has = other >= 0
+    kind = place_type(n)
+    other = np.full(n, -1, kind)
+    other[order[1:]] = order[:-1]
     reducible = np.zeros(n, bool)
-    k = np.flatnonzero(has & (own > 0) & (other > 0))
-    reducible[k] = (symbols[k - 1] == symbols[other[k] - 1]) & (symbols[k - 1] != 0)
-    at = np.flatnonzero(~reducible)
-    out = np.zeros(n, np.int64)
-    padded = np.concatenate([symbols.astype(np.int64), np.full(int(left.max(initial=0)) + 16, -1)])
-    live = at[has[at]]
+    reducible[1:] = (other[1:] > 0) & (symbols[:-1] == symbols[other[1:] - 1]) & (symbols[:-1] != 0)
+    out = np.zeros(n, kind)
+    signed = np.result_type(symbols.dtype, np.int8)
+    padded = np.concatenate([symbols.astype(signed), np.full(int(left.max(initial=0)) + 16, -1, signed)])
+    live = np.flatnonzero(~reducible & (other >= 0)).astype(kind)
     most = left[live]
-    length = np.zeros(len(live), np.int64)
-    todo = np.arange(len(live))
+    length = np.zeros(len(live), kind)
+    todo = np.arange(len(live), dtype=kind)
     while todo.size:
         same = padded[live[todo] + length[todo]] == padded[other[live[todo]] + length[todo]]
         todo = todo[same & (length[todo] < most[todo])]
         length[todo] += 1
     out[live] = np.minimum(length, most)
-    source = np.maximum.accumulate(np.where(reducible, 0, own))
+    own = np.arange(n, dtype=kind)
+    source = np.maximum.accumulate(np.where(reducible, kind(0), own))
     return np.maximum(out[source] - (own - source), 0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,21 @@ def test_cut_repeats_of_nothing(empty):
     assert cut_repeats(empty).collect() == []
 
 
+def test_memory_of_a_shard():
+    """A key may fill a shard with 20,000 pieces of 134 bytes, on each core of an executor: what a symbol takes is bounded."""
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    passage = rng.choice(letters, 66).tobytes()
+    pieces = [rng.choice(letters, 34).tobytes() + passage + rng.choice(letters, 34).tobytes() for _ in range(2000)]
+    tracemalloc.start()
+    try:
+        substrings.repeated_windows(pieces, np.arange(2000), np.zeros(2000, np.int64), 100)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 85 * (2000 * 135)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80))
 def test_suffix_array_is_sorted(symbols):
