@@ -133,10 +133,14 @@ def clean_extracted(text: Column) -> Column:
 
 
 def drop_decoration(text: Column) -> Column:
-    """Whole-line comments of page headers, footers, numbers and breaks; underlined titles become headings."""
-    text = F.regexp_replace(text, r'(?md)^[ \t]*<!-- (?:PageHeader|PageFooter|PageNumber)="[^\n]*" -->[ \t]*$\n?', "")
-    text = F.regexp_replace(text, r"(?md)^[ \t]*<!-- PageBreak -->[ \t]*$\n?", "")
-    return F.regexp_replace(F.regexp_replace(text, r"(?md)^([^\n]*\S[^\n]*)\n=+[ \t]*$", "# $1"), r"^[\r\n]+|[\r\n]+\z", "")
+    """Whole-line comments of page headers, footers, numbers and breaks; underlined titles become headings.
+
+    No pattern goes back over what it has read, so a line takes time in proportion to its length.
+    """
+    text = F.regexp_replace(text, r'(?md)^[ \t]*+<!-- (?:PageHeader|PageFooter|PageNumber)="[^\n]*" -->[ \t]*+$\n?', "")
+    text = F.regexp_replace(text, r"(?md)^[ \t]*+<!-- PageBreak -->[ \t]*+$\n?", "")
+    text = F.regexp_replace(text, r"(?md)^(?=[^\S\n]*+\S)([^\n]++)\n=++[ \t]*+$", "# $1")
+    return F.regexp_replace(text, r"^[\r\n]++|(?<![\r\n])[\r\n]++\z", "")
 
 
 @F.pandas_udf(StringType())

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow import catalog
+from corpusflow.functions import cleaning
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +27,15 @@ def against_sql(spark, tmp_path_factory):
 
 def test_preflight_of_documents_without_text(against_sql):
     against_sql("file_preflight", ["some text", "", "", None, "x" * 10240, "x" * 10239, ""])
+
+
+def test_decoration_around_texts_of_any_kind(against_sql):
+    lookalikes = ["a\n===\nb", "===\nb", '<!-- PageHeader="y" -->', "x\n <!-- PageBreak --> \ny", "1 = 3 "]
+    against_sql("page_decoration", ["some text", "", None, "\n\nends\n\n", "ends\r", "\r\n", " ", *lookalikes])
+
+
+def test_decoration_of_long_lines(spark):
+    """One line of two million characters and no title below it; the same titles as before."""
+    rows = [("a long line " * 170_000, "a long line " * 170_000), (" \t Title \n== \nx\n \n===\n", " \t Title \nx\n \n===".replace(" \t", "#  \t", 1)), ("\n\r\nx\r\n", "x"), ("\n\n", "")]
+    told = spark.createDataFrame(rows, "dirty string, clean string").select(cleaning.drop_decoration(F.col("dirty")).alias("got"), "clean").collect()
+    assert all(r.got == r.clean for r in told)
