@@ -20,8 +20,9 @@ LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ"
 INVISIBLE = "​‌‍﻿­"
 #: Fixed value: control characters that extraction leaves behind; those beyond ASCII stay.
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-#: Bytes that Windows-1252 leaves open and that are read as control characters.
-_OPEN_BYTES = {c: bytes([c]) for c in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: What Windows-1252 reads in the bytes from 128 to 159, less those that it leaves open; these are read as control characters.
+_SHOWN = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_WINDOWS = r"^[\x00-\x7F\x81\x8D\x8F\x90\x9D\xA0-\xFF" + "".join(_SHOWN.values()) + r"]*+\z"
 
 _ENTITY = re.compile(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
@@ -45,21 +46,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None and not t.isascii() else t)
 
 
-def _reread(text: str | None) -> str | None:
+def repair_roundtrip(text: Column) -> Column:
     """A text that was UTF-8 read as Windows-1252, read right; others as they are."""
-    if text is None or not ("Ã" in text or "â" in text):
-        return text
-    try:
-        data = b"".join(_OPEN_BYTES.get(ord(c)) or c.encode("cp1252") for c in text)
-    except UnicodeEncodeError:
-        return text
-    fixed = data.decode("utf-8", "replace")
-    return text if "�" in fixed else fixed
-
-
-@F.pandas_udf(StringType())
-def repair_roundtrip(text: pd.Series) -> pd.Series:
-    return text.map(_reread)
+    damaged = (F.contains(text, F.lit("Ã")) | F.contains(text, F.lit("â"))) & text.rlike(_WINDOWS)
+    plain = F.translate(F.when(damaged, text), "".join(_SHOWN.values()), "".join(map(chr, _SHOWN)))
+    fixed = F.try_validate_utf8(F.encode(plain, "ISO-8859-1").cast("string"))
+    return F.when(~F.contains(fixed, F.lit("�")), fixed).otherwise(text)
 
 
 def _all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -126,7 +118,7 @@ def tidy_space(text: Column) -> Column:
 
 
 def clean_extracted(text: Column) -> Column:
-    """The cleaner of extracted files; the two steps without built-ins are the only Python."""
+    """The cleaner of extracted files; composing is the only Python."""
     text = repair_roundtrip(line_ends(F.coalesce(text, F.lit(""))))
     text = nfc(plain_spaces(expand_ligatures(drop_invisible(drop_controls(text)))))
     return tidy_space(join_hyphenated(text))

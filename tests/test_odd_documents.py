@@ -39,3 +39,11 @@ def test_decoration_of_long_lines(spark):
     rows = [("a long line " * 170_000, "a long line " * 170_000), (" \t Title \n== \nx\n \n===\n", " \t Title \nx\n \n===".replace(" \t", "#  \t", 1)), ("\n\r\nx\r\n", "x"), ("\n\n", "")]
     told = spark.createDataFrame(rows, "dirty string, clean string").select(cleaning.drop_decoration(F.col("dirty")).alias("got"), "clean").collect()
     assert all(r.got == r.clean for r in told)
+
+
+def test_repairs_without_python(spark, against_sql):
+    """The repair is built in, so no worker holds a batch of texts, whatever the number of rows; and texts of any kind come back."""
+    against_sql("repair_mojibake_roundtrip", ["some text", "", None, "â Ã é", "� x", "日本 \x81\x9d"])
+    frame = spark.createDataFrame([("cafÃ© â€™",), ("â€\x9d",), ("Ã 日",), ("Ã\x80",), ("ï¿½Ã©",), ("â",), (None,)], "t string").select(cleaning.repair_roundtrip(F.col("t")).alias("t"))
+    assert [r.t for r in frame.collect()] == ["café ’", "”", "Ã 日", "Ã\x80", "ï¿½Ã©", "â", None]
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
