@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from html.entities import name2codepoint
+from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,10 +26,37 @@ _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 #: What Windows-1252 reads in the bytes from 128 to 159, less those that it leaves open; these are read as control characters.
 _SHOWN = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _WINDOWS = r"^[\x00-\x7F\x81\x8D\x8F\x90\x9D\xA0-\xFF" + "".join(_SHOWN.values()) + r"]*+\z"
+#: Text bytes and rows that a Python worker holds as Python strings together; a longer text is a slice of its own.
+_SLICE_BYTES, _SLICE_ROWS = 1 << 20, 1024
 
 _ENTITY = re.compile(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
+def _mapped(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """``f`` of every text, slice by slice; null stays null."""
+    out, begin, held = [], 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > begin and (held + n > _SLICE_BYTES or k - begin == _SLICE_ROWS):
+            out.append(pa.array([t if t is None else f(t) for t in texts.slice(begin, k - begin).to_pylist()], pa.string()))
+            begin, held = k, 0
+        held += n
+    return pa.concat_arrays([*out, pa.array([t if t is None else f(t) for t in texts.slice(begin).to_pylist()], pa.string())])
+
+
+def _in_python(f: Callable[[str], str], needs: Callable[[Column], Column] | None = None) -> Callable[[Column | str], Column]:
+    """A column function of ``f``, which leaves texts without ``needs`` as they are; those do not go to Python."""
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return _mapped(texts, f)
+
+    def column(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return run(text) if needs is None else F.coalesce(run(F.when(needs(text), text)), text)
+
+    return column
+
+
 def _entity(match: re.Match) -> str:
     name = match[1]
     if name[0] != "#":
@@ -36,14 +66,17 @@ def _entity(match: re.Match) -> str:
     return match[0] if code is None or code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
 
 
-@F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _ENTITY.sub(_entity, t) if t is not None and "&" in t else t)
+def _decoded(text: str) -> str:
+    return _ENTITY.sub(_entity, text)
+
 
+def _composed(text: str) -> str:
+    return unicodedata.normalize("NFC", text)
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None and not t.isascii() else t)
+
+decode_entities = _in_python(_decoded, lambda text: F.contains(text, F.lit("&")))
+#: Characters below the first combining mark are composed.
+nfc = _in_python(_composed, lambda text: text.rlike(r"[\x{300}-\x{10FFFF}]"))
 
 
 def repair_roundtrip(text: Column) -> Column:
@@ -135,37 +168,33 @@ def drop_decoration(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\r\n]++|(?<![\r\n])[\r\n]++\z", "")
 
 
-@F.pandas_udf(StringType())
-def page_body(html: pd.Series) -> pd.Series:
-    """A web page without what surrounds its content: header, footer, nav, breadcrumbs, cookie notices, scripts."""
-    from html.parser import HTMLParser
+class _Body(HTMLParser):
+    skip, void = {"header", "footer", "nav", "script", "style"}, {"br", "img", "input", "meta", "link", "hr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.stack = [], []
 
-    class Body(HTMLParser):
-        skip, void = {"header", "footer", "nav", "script", "style"}, {"br", "img", "input", "meta", "link", "hr"}
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.void:
+            marks = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
+            self.stack.append((tag, tag in self.skip or "breadcrumb" in marks or "cookie" in marks))
 
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.out, self.stack = [], []
+    def handle_endtag(self, tag):
+        while self.stack and any(t == tag for t, _ in self.stack):
+            if self.stack.pop()[0] == tag:
+                break
 
-        def handle_starttag(self, tag, attrs):
-            if tag not in self.void:
-                marks = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
-                self.stack.append((tag, tag in self.skip or "breadcrumb" in marks or "cookie" in marks))
+    def handle_data(self, data):
+        if not any(skipped for _, skipped in self.stack):
+            self.out.append(data)
 
-        def handle_endtag(self, tag):
-            while self.stack and any(t == tag for t, _ in self.stack):
-                if self.stack.pop()[0] == tag:
-                    break
 
-        def handle_data(self, data):
-            if not any(skipped for _, skipped in self.stack):
-                self.out.append(data)
+def _body(page: str) -> str:
+    parser = _Body()
+    parser.feed(page)
+    return re.sub(r"\s+", " ", " ".join(parser.out)).strip()
 
-    def body(page: str | None) -> str | None:
-        if page is None:
-            return None
-        parser = Body()
-        parser.feed(page)
-        return re.sub(r"\s+", " ", " ".join(parser.out)).strip()
 
-    return html.map(body)
+#: A web page without what surrounds its content: header, footer, nav, breadcrumbs, cookie notices, scripts.
+page_body = _in_python(_body)

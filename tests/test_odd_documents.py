@@ -1,6 +1,9 @@
 """Queries over documents against their SQL on texts that the small tables do not have."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +50,18 @@ def test_repairs_without_python(spark, against_sql):
     frame = spark.createDataFrame([("cafÃ© â€™",), ("â€\x9d",), ("Ã 日",), ("Ã\x80",), ("ï¿½Ã©",), ("â",), (None,)], "t string").select(cleaning.repair_roundtrip(F.col("t")).alias("t"))
     assert [r.t for r in frame.collect()] == ["café ’", "”", "Ã 日", "Ã\x80", "ï¿½Ã©", "â", None]
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_holds_a_slice_of_texts(spark):
+    """Of 80 MB of texts a worker has some MB as Python strings at a time; texts that need nothing do not reach it."""
+    texts = pa.array([None, "", "é" * 4_000_000, *["é" * 20_000] * 1_800, *["x"] * 3_000])
+    tracemalloc.start()
+    got = cleaning._mapped(texts, cleaning._composed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.slice(3).to_pylist() == ["é" * 20_000] * 1_800 + ["x"] * 3_000 and got.slice(0, 2).to_pylist() == [None, ""] and len(got[2].as_py()) == 4_000_000
+    assert peak < 30e6
+    assert cleaning._mapped(texts.slice(0, 0), cleaning._composed).to_pylist() == []
+
+    refuse = cleaning._in_python(lambda t: t[99_999], lambda t: F.contains(t, F.lit("&")))
+    assert [r[0] for r in spark.createDataFrame([("a",), ("",), (None,)], "t string").select(refuse("t")).collect()] == ["a", "", None]
