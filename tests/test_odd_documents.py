@@ -65,3 +65,10 @@ def test_python_holds_a_slice_of_texts(spark):
 
     refuse = cleaning._in_python(lambda t: t[99_999], lambda t: F.contains(t, F.lit("&")))
     assert [r[0] for r in spark.createDataFrame([("a",), ("",), (None,)], "t string").select(refuse("t")).collect()] == ["a", "", None]
+
+
+def test_flagship_sends_only_texts_with_entities_to_python(spark, tmp_path):
+    spark.createDataFrame([(1, "a &amp; b", "en"), (2, "c", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = catalog.flagship(spark, str(tmp_path))
+    assert "CASE WHEN Contains" in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in frame.collect()] == [("en", 2, 1, 5, 3.0)]
